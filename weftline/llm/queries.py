@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, jaccard_join, quality, sharding, substring_dedup, suffix_dedup
+from weftline.llm import bpe, decontaminate, embedding_dedup, jaccard_join, quality, sharding, substring_dedup, suffix_dedup, url_filter
 from weftline.llm.shared import table
 
 
@@ -34,6 +34,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -44,6 +49,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    mined = url_filter.mine(pages.join(bad, "page_id").select("url", "bad"))
+    return url_filter.judge(pages, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
@@ -60,5 +72,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_jaccard_join, op5_substring_dedup, op6_suffix_dedup, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_jaccard_join, op4_embedding_dedup, op5_substring_dedup, op6_suffix_dedup, op7_url_filter, op9_quality, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

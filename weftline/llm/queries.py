@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, embedding_dedup, jaccard_join, quality, sharding, substring_dedup, suffix_dedup, url_filter
+from weftline.llm import bpe, decontaminate, embedding_dedup, jaccard_join, quality, sharding, substring_dedup, suffix_dedup, token_output, url_filter
 from weftline.llm.shared import table
 
 
@@ -17,13 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _digests(ids: bytes, decoded: str) -> tuple[str, str]:
+def digests(ids: bytes, decoded: str) -> tuple[str, str]:
     return hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, tokenizer_path(), keep_text=False, digest=_digests, digest_fields=(("ids_sha256", "string"), ("decoded_sha256", "string"))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, tokenizer_path(), keep_text=False, digest=digests, digest_fields=(("ids_sha256", "string"), ("decoded_sha256", "string"))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all sequences written; <|endoftext|> ends documents, <|startoftext|> fills up."""
+    index, _ = token_output.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), end_id=49407, pad_id=49406)
+    return index.select("doc_id", "seq", "n_tokens", "slot", "shard", "offset", "crc32")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
@@ -72,5 +78,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_jaccard_join, op4_embedding_dedup, op5_substring_dedup, op6_suffix_dedup, op7_url_filter, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_jaccard_join, op4_embedding_dedup, op5_substring_dedup, op6_suffix_dedup, op7_url_filter, op8_token_output, op9_quality, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ TAGS = (
     "gallery", "nowiki", "pre", "categorytree", "charinsert", "hiero", "imagemap", "inputbox",
     "math", "poem", "ref", "references", "score", "syntaxhighlight", "source", "timeline",
 )
+# The patterns whose matches define what is removed.
 COMMENT = r"(?s)<!--.*?(-{2,3})>"
 TEMPLATE = r"(?s)\{\{([^{]*?)\}\}"
 NOWRAP = r"(?s)\{\{nowrap\|([^{]*?)\}\}"

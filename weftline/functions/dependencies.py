@@ -23,7 +23,7 @@ MAX_DEPTH = 10
 
 def bims(deps: Column, tokens: Column, word: Column) -> Column:
     """Features of the token number `word`: `rel(@@,lemma)` where it governs, `rel(lemma,@@)` where it depends; both for a loop."""
-    lemma = lambda i: F.element_at(tokens, i + 1)["lemma"]
+    lemma = lambda i: F.get(tokens, i)["lemma"]
     mine = F.filter(deps, lambda e: (e["gov"] == word) | (e["dep"] == word))
     governs = lambda e: F.when(e["gov"] == word, F.concat(e["type"], F.lit(f"({HOLE},"), lemma(e["dep"]), F.lit(")")))
     depends = lambda e: F.when(e["dep"] == word, F.concat(e["type"], F.lit("("), lemma(e["gov"]), F.lit(f",{HOLE})")))
@@ -32,7 +32,7 @@ def bims(deps: Column, tokens: Column, word: Column) -> Column:
 
 def holing(deps: Column, tokens: Column) -> Column:
     """Two features an edge: the governor with the hole at 0, the dependent with the hole at 1."""
-    lemma = lambda i: F.element_at(tokens, i + 1)["lemma"]
+    lemma = lambda i: F.get(tokens, i)["lemma"]
     one = lambda key, value, e, hole: F.struct(lemma(key).alias("key"), F.array(lemma(value)).alias("values"), e["type"].alias("relation"), F.lit(hole).alias("hole"))
     return F.flatten(F.transform(deps, lambda e: F.array(one(e["gov"], e["dep"], e, 0), one(e["dep"], e["gov"], e, 1))))
 
@@ -45,12 +45,15 @@ def collapse_prepositions(deps: Column, tokens: Column) -> Column:
     `mwe` dependent) is named `prep_<dependent>_<token>`. Prepositions without both edges stay.
     """
     number = F.sequence(F.lit(0), F.size(tokens) - 1)
-    token = lambda i: F.element_at(tokens, i + 1)
-    first = lambda a: F.element_at(a, 1)
+    token = lambda i: F.get(tokens, i)
+    first = lambda a: F.get(a, F.lit(0))
     numbered = F.when(F.size(tokens) > 0, number).otherwise(F.array().cast("array<int>"))
 
     def plan(i: Column) -> Column:
-        into, out, more = (F.filter(deps, lambda e, t=t, s=s: (e[s] == i) & (e["type"] == t)) for t, s in (("prep", "dep"), ("pobj", "gov"), ("mwe", "gov")))
+        def edges(kind: str, end: str) -> Column:
+            return F.filter(deps, lambda e: (e[end] == i) & (e["type"] == kind))
+
+        into, out, more = edges("prep", "dep"), edges("pobj", "gov"), edges("mwe", "gov")
         name = F.concat(F.lit("prep_"), F.when(F.size(more) > 0, F.concat(F.lower(token(first(more)["dep"])["text"]), F.lit("_"))).otherwise(""), F.lower(token(i)["text"]))
         edge = F.struct(first(into)["gov"].alias("gov"), first(out)["dep"].alias("dep"), name.alias("type"), first(into)["begin"].alias("begin"), first(out)["end"].alias("end"))
         return F.when((F.size(into) > 0) & (F.size(out) > 0), F.struct(i.alias("i"), edge.alias("edge")))

@@ -58,8 +58,11 @@ def strip_tag(text: Column, tag: str) -> Column:
 
 
 def strip_tags(text: Column, tags: tuple[str, ...] = TAGS) -> Column:
+    def without(tag: str):
+        return lambda x: F.when(F.instr(x, f"<{tag}") > 0, strip_tag(x, tag)).otherwise(x)
+
     for tag in tags:
-        text = F.when(F.instr(text, f"<{tag}") > 0, strip_tag(text, tag)).otherwise(text) if len(tags) == 1 else _bound(text, lambda x, t=tag: F.when(F.instr(x, f"<{t}") > 0, strip_tag(x, t)).otherwise(x))
+        text = _bound(text, without(tag))
     return text
 
 

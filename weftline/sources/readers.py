@@ -27,7 +27,12 @@ def xml_rejects(spark: SparkSession, path: str | list[str], row_tag: str = "page
 
 
 def _xml(spark: SparkSession, path, row_tag: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreSurroundingSpaces", "false").schema(_PAGE).load(path)
+    """Elements as their closing tags part them, so that a broken one spoils no other and large files split."""
+    parts = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    element = F.regexp_extract("value", rf"(?s)(<{row_tag}(?:\s[^>]*)?>.*)$", 1)
+    whole = parts.select(F.concat(element, F.lit(f"</{row_tag}>")).alias("xml")).where(F.length("xml") > len(row_tag) + 3)
+    options = {"rowTag": row_tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "false"}
+    return whole.select(F.from_xml("xml", _PAGE, options).alias("p")).select("p.*")
 
 
 def xml_record(xml: Column) -> Column:

@@ -40,3 +40,10 @@ def test_counts_columns_and_numbers(spark):
     df = spark.createDataFrame([("A:B:12", "a\t\tb\t\t", " 5 "), ("x", "a", "+7"), (":3", "", "5.7")], "c string, l string, n string")
     out = df.select(codec.decode_count(F.col("c")).alias("c"), F.size(codec.columns_of(F.col("l"))).alias("k"), codec.whole(F.col("n")).alias("n")).collect()
     assert [r["c"] and tuple(r["c"]) for r in out] == [("A:B", 12), None, ("", 3)] and [r["k"] for r in out] == [3, 1, 1] and [r["n"] for r in out] == [None, 7, None]
+
+
+def test_documents_of_lines(spark):
+    doc = "Cars and motor cycles\tCars@@Automobile@0:4  motor cycles@@Motorbike@9:21\nno links here\nOn rails\tTrain@3:8  bad@x\t"
+    r = spark.createDataFrame([(doc,)], "d string").select(codec.document_text(F.col("d")).alias("t"), codec.document_links(F.col("d")).alias("l")).first()
+    assert r["t"] == "Cars and motor cycles\nOn rails\n"
+    assert [(r["t"][x["begin"] : x["end"]], x["resource"]) for x in r["l"]] == [("Cars", "Automobile"), ("motor cycles", "Motorbike"), ("rails", "Train")]

@@ -53,3 +53,25 @@ def decode_count(element: Column) -> Column:
     """`target:count`; the last colon separates, targets may have others."""
     form = r"(?s)^(.*):([0-9]+)$"
     return F.when(element.rlike(form), F.struct(F.regexp_extract(element, form, 1).alias("target"), F.regexp_extract(element, form, 2).try_cast("bigint").alias("cnt")))
+
+
+def _lines(document: Column) -> Column:
+    """(sentence, encoded links) of the lines that have exactly these two columns."""
+    rows = F.transform(F.split(document, "\n"), columns_of)
+    return F.filter(rows, lambda c: F.size(c) == 2)
+
+
+def document_text(document: Column) -> Column:
+    """The sentences of a document of `sentence TAB links` lines, each with a line break behind."""
+    return F.array_join(F.transform(_lines(document), lambda c: F.concat(c[0], F.lit("\n"))), "")
+
+
+def document_links(document: Column) -> Column:
+    """array<struct<begin, end, resource>>: the links of all lines, with spans in document_text; badly formed elements are left out."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,resource:string>>").alias("found"))
+
+    def step(acc: Column, c: Column) -> Column:
+        moved = F.transform(decode_links(c[1]), lambda x: F.struct((x["begin"] + acc["at"]).alias("begin"), (x["end"] + acc["at"]).alias("end"), x["target"].alias("resource")))
+        return F.struct((acc["at"] + F.length(c[0]) + 1).alias("at"), F.concat(acc["found"], moved).alias("found"))
+
+    return F.aggregate(_lines(document), start, step, lambda acc: acc["found"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import codec, names
+from weftline.functions import codec, dependencies, names, text
 from weftline.operators.redirects import one_each
 
 _PAGE = "title string, ns string, redirect struct<_title:string>, revision struct<text:string>, _corrupt_record string"
@@ -107,3 +107,21 @@ def clusters(spark: SparkSession, path: str, words: DataFrame | None = None) ->
     one = rows.select("word", "cluster_id", F.explode(F.split("features", codec.SEPARATOR)).alias("f"))
     form = r"^(.*):([0-9.eE+-]+)$"
     return one.select("word", "cluster_id", F.regexp_extract("f", form, 1).alias("feature"), F.regexp_extract("f", form, 2).try_cast("float").alias("weight")).where(F.col("weight").isNotNull())
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(word, gold, cnt) of `word TAB R:c  R:c`."""
+    rows = delimited(spark, path, "word", "senses").select("word", F.explode(F.split("senses", codec.SEPARATOR)).alias("e"))
+    return rows.select("word", codec.decode_count(F.col("e")).alias("c")).where(F.col("c").isNotNull()).select("word", F.col("c.target").alias("gold"), F.col("c.cnt").alias("cnt"))
+
+
+def dependency_patterns(spark: SparkSession, path: str) -> list:
+    """The patterns of a file, in its order; a pattern file is a few dozen lines that its author wrote."""
+    text = spark.read.text(path, wholetext=True).first()
+    return dependencies.parse_patterns(text["value"] if text else "")
+
+
+def tokenized(spark: SparkSession, path: str) -> DataFrame:
+    """(sid, sentence, links, tokens) of a links file, tokens by rule."""
+    rows = links(spark, path).withColumn("sid", F.xxhash64("sentence", codec.encode_links(F.col("links"))))
+    return rows.select("sid", "sentence", "links", text.tokens(F.col("sentence")).alias("tokens"))

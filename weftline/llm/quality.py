@@ -8,12 +8,12 @@ at most `parts` of them) meet on the driver, where ridge is solved. Raw ridge sc
 calibrated by isotonic regression on a histogram of fixed size, gathered out of sample: the model
 that calibrates a row was solved without that row's fold.
 
-Fitting takes at most `max_fit` labelled rows, chosen by a hash of doc_id (documented bound; the
-rows chosen are broadcast as ids only, so texts never shuffle). Scoring reads every text once.
+Fitting takes about `max_fit` labels (documented bound), all of them if there are no more, chosen by a
+hash of doc_id and label; they are broadcast as ids only, so texts never shuffle. Scoring reads every text once.
 
 Defined cases: null and empty texts have all statistics 0 and are scored like any other; labels
-other than 0 or 1, null labels and labels without a document teach nothing; a document labelled
-twice counts twice; with no usable label the score is 0.5 for all; with one class only it is that
+other than 0 or 1, null labels and labels without a document teach nothing; equal labels of
+a document count once, different ones each; with no usable label the score is 0.5 for all; with one class only it is that
 class for all; an empty table gives no rows; other columns pass through, those named like a result
 are replaced.
 """
@@ -136,10 +136,12 @@ def _stat_frame(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT, features: int = FEATURES, parts: int = PARTS, ridge: float = 1e-3, seed: int = 20240601) -> Model:
-    """Learn from labels whose (id, label) rows the caller has chosen; at most max_fit of them, by hash of the id."""
+    """Learn from labels whose (id, label) rows the caller has chosen; about max_fit of them at most, by hash."""
     spark = docs.sparkSession
-    some = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    some = some.orderBy(F.xxhash64("id"), "id", "y").limit(max_fit)  # a bounded top-k: ids and labels only
+    some = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).distinct()
+    n = some.count()
+    if n > max_fit:  # about max_fit of them, wherever they lie
+        some = some.where(F.shiftrightunsigned(F.xxhash64("id", "y"), 1) < F.lit(int(2**63 * (max_fit / n))))
     chosen = materialize(_stat_frame(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(some), "id"), "text", ["id", "y"]), "quality-fit")
     dims = len(STATS)
     told = chosen.select("y", *(F.col("stats")[k].alias(f"s{k}") for k in range(dims))).agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *(f(f"s{k}").alias(f"{n}{k}") for k in range(dims) for n, f in (("m", F.avg), ("d", F.stddev_pop)))).first()

@@ -64,11 +64,12 @@ class MinedRule:
 
 
 def mine(urls: DataFrame, *, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_rules: int = MAX_RULES, max_fit: int = MAX_FIT) -> list[MinedRule]:
-    """Rules of labelled urls (bad_col true or false); at most max_fit urls, by hash."""
+    """Rules of labelled urls (bad_col true or false); about max_fit urls at most, drawn with a fixed seed."""
     url = F.col(quoted(url_col))
     baskets = urls.where(F.col(quoted(bad_col)).isNotNull()).select(url.alias("u"), F.col(quoted(bad_col)).alias("bad"))
-    if baskets.count() > max_fit:
-        baskets = baskets.orderBy(F.xxhash64("u"), "u").limit(max_fit)
+    n = baskets.count()
+    if n > max_fit:
+        baskets = baskets.sample(max_fit / n, seed=7)
     baskets = baskets.select(F.concat(tokens_of(host_of(F.col("u")), path_of(F.col("u")), F.col("u")), F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"), "bad")
     told = baskets.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad")).first()
     if not told["n"] or not told["bad"] or told["bad"] == told["n"]:

@@ -132,9 +132,9 @@ class Sets:
         return np.concatenate(rows), np.concatenate(keys)
 
     def sketch(self, row: int) -> bytes:
-        """One-hot parity: bit i is the number of shingles with hash i, modulo 2; a power of two of bits, twice the size at least."""
+        """One-hot parity: bit i is the number of shingles with hash i, modulo 2; a power of two of bits, as many as shingles at least."""
         h = mix(self.hash[self.first[row] : self.first[row + 1]] ^ U(0x1F83D9ABFB41BD6B))
-        bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
+        bits = max(64, 1 << int(len(h) - 1).bit_length())
         return np.packbits(np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -247,32 +247,36 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
-def apart(members: DataFrame) -> DataFrame:
-    """Pairs across components among the members (key, id, comp, n, sketch) of each key, unless sizes or sketches refute them.
+def apart(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs across components among the members (key, id, comp) of each key, unless sizes or sketches (facts) refute them.
 
     A key with many members is dealt in tiles: a task has two tiles of one key, so the pairs of a
-    key are spread over tasks.
+    key are spread over tasks. Sketches join last, when all else of a row is settled.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tiled = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    dealt = tiled.select("key", "id", "comp", "n", "sketch", "tile", other).select("key", "id", "comp", "n", "sketch", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "x", "y"), F.lit(1 << 12)).cast("int"))
+    dealt = tiled.select("key", "id", "comp", "tile", other).select("key", "id", "comp", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "x", "y"), F.lit(1 << 12)).cast("int")).join(facts, "id")
 
     def run(t: pa.Table) -> pa.Table:
-        cols = {c: t.column(c).to_pylist() for c in ("key", "x", "y", "tile", "id", "comp", "n", "sketch")}
-        groups: dict[tuple, list[int]] = {}
-        for k, g in enumerate(zip(cols["key"], cols["x"], cols["y"], strict=True)):
-            groups.setdefault(g, []).append(k)
-        found = set()
-        for (_, x, y), rows in groups.items():
-            for i, r in enumerate(rows):
-                for q in rows[i + 1 :]:
-                    if cols["comp"][r] == cols["comp"][q] or (x != y and cols["tile"][r] == cols["tile"][q]):
-                        continue
-                    pair = (min(cols["id"][r], cols["id"][q]), max(cols["id"][r], cols["id"][q]))
-                    if pair not in found and may_link(cols["n"][r], cols["n"][q], cols["sketch"][r], cols["sketch"][q]):
-                        found.add(pair)
+        t = t.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        key, x, y, tile, ids, comp, n = (t.column(c).to_numpy() for c in ("key", "x", "y", "tile", "id", "comp", "n"))
+        sketch = t.column("sketch").to_pylist()
+        edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+        found: set[tuple[int, int]] = set()
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+            size = min(map(len, sketch[lo:hi]))
+            rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, dtype="<u8").reshape(-1, size // 8), axis=0) for s in sketch[lo:hi]])
+            for i in range(lo, hi - 1):
+                later = slice(i + 1, hi)
+                ok = (comp[later] != comp[i]) & (DENOMINATOR * np.minimum(n[later], n[i]) >= NUMERATOR * np.maximum(n[later], n[i]))
+                if x[lo] != y[lo]:
+                    ok &= tile[later] != tile[i]
+                js = i + 1 + np.flatnonzero(ok)
+                if len(js):
+                    differ = np.bitwise_count(rows[js - lo] ^ rows[i - lo]).sum(axis=1, dtype=np.int64)
+                    found.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js[9 * differ <= n[js] + n[i]].tolist())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return dealt.groupBy("task").applyInArrow(run, "a long, b long").distinct()
@@ -304,7 +308,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     label = connected_components(links, "jaccard-first")
     placed = members.join(label.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(apart(placed.join(open_keys, "key").join(facts, "id")).join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = materialize(apart(placed.join(open_keys, "key"), facts).join(first, ["a", "b"], "left_anti"), "jaccard-rest")
     more = verified(lean, rest, size.blocks, width)
     if rest.limit(1).count():
         links = materialize(label.toDF("a", "b").union(more), "jaccard-links")

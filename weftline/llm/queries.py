@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, decontaminate, embedding_dedup, jaccard_join, quality, sharding, substring_dedup, suffix_dedup, token_output, url_filter
+from weftline.llm.oracles import ORACLE_SQL  # noqa: F401  beside the queries, for the entry
 from weftline.llm.shared import table
 
 
@@ -79,4 +80,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_jaccard_join, op4_embedding_dedup, op5_substring_dedup, op6_suffix_dedup, op7_url_filter, op8_token_output, op9_quality, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}

@@ -81,6 +81,35 @@ class Chunk:
 _SIMPLE = re.compile("[!-~\u00a1-\u012f]+")
 
 
+class Memory(dict):
+    """A dict of bounded size in two generations: entries that are used again outlive a full generation, all others go."""
+
+    def __init__(self, kept: int):
+        super().__init__()
+        self.kept, self.older = kept, {}
+
+    def __missing__(self, key):
+        value = self.older[key]
+        self[key] = value
+        return value
+
+    def holds(self, key) -> bool:
+        """Whether it is there; what an older generation has moves up."""
+        if key in self:
+            return True
+        value = self.older.get(key)
+        if value is None:
+            return False
+        self[key] = value
+        return True
+
+    def turn(self, coming: int) -> None:
+        """Room for as many entries that are about to come, none of which goes before the next turn."""
+        if len(self) + coming > self.kept:
+            self.older = dict(self)
+            self.clear()
+
+
 class PlainWords:
     """Ids of simple words straight from the merges, past normaliser and pre-tokeniser.
 
@@ -90,7 +119,7 @@ class PlainWords:
     """
 
     def __init__(self, tokenizer, declared: dict, kept: int):
-        self.model, self.kept, self.memory = tokenizer.model, kept, {}
+        self.model, self.memory = tokenizer.model, Memory(kept)
         self.pattern = self.bytes = None
         norm, pre = (declared.get("normalizer") or {}).get("normalizers", []), (declared.get("pre_tokenizer") or {}).get("pretokenizers", [])
         steps = [(n["type"], n.get("pattern"), n.get("content")) for n in norm]
@@ -99,21 +128,29 @@ class PlainWords:
             self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
             self.special = [t["content"] for t in declared.get("added_tokens", [])]
             shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+            self.numbers = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values()) + 1)]
             self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
-    def ids(self, word: str) -> bytes | None:
-        if self.pattern is None or not _SIMPLE.fullmatch(word) or ("<" in word and any(t in word for t in self.special)):
-            return None
-        out = []
-        for piece in self.pattern.findall(word.lower()):
-            known = self.memory.get(piece)
-            if known is None:
-                shown = piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode()))
-                if len(self.memory) >= self.kept:
-                    self.memory.clear()
-                known = self.memory[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-            out.append(known)
-        return b"".join(out)
+    def learn(self, words: list[bytes], into: dict[bytes, bytes]) -> list[bytes]:
+        """Enters the ids of the simple ones of the words; returns the others."""
+        if self.pattern is None:
+            return words
+        rest, memory, numbers, tokenize, find = [], self.memory, self.numbers, self.model.tokenize, self.pattern.findall
+        memory.turn(2 * len(words))
+        for w in words:
+            word = w.decode()
+            simple = word.isprintable() if word.isascii() else _SIMPLE.fullmatch(word)
+            if not simple or ("<" in word and any(t in word for t in self.special)):
+                rest.append(w)
+                continue
+            low, out = word.lower(), []
+            for piece in (low,) if low.isalpha() else find(low):
+                if piece not in memory and not memory.holds(piece):
+                    shown = piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode()))
+                    memory[piece] = b"".join([numbers[t.id] for t in tokenize(shown)])
+                out.append(memory[piece])
+            into[w] = out[0] if len(out) == 1 else b"".join(out)
+        return rest
 
 
 class Codec:
@@ -130,7 +167,7 @@ class Codec:
             declared = json.load(f)
         self.simple = PlainWords(self.tokenizer, {k: v for k, v in declared.items() if k != "model"}, words_kept // 2)
         self.mask_bits, self.words_kept, self.chunk_bytes_kept = mask_bits, words_kept, chunk_bytes_kept
-        self.words: dict[bytes, bytes] = {}
+        self.words = Memory(words_kept)
         self.chunks: dict[bytes, Chunk] = {}
         self.chunk_bytes = 0
         self.plain = self.tokenizer.decoder is None
@@ -142,16 +179,9 @@ class Codec:
 
     def learn(self, words: set[bytes]) -> None:
         """After this, self.words has all of them."""
-        if len(self.words) + len(words) > self.words_kept:
-            self.words.clear()
-        new = []
-        for w in words:
-            if w not in self.words:
-                ids = self.simple.ids(w.decode())
-                if ids is None:
-                    new.append(w)
-                else:
-                    self.words[w] = ids
+        self.words.turn(len(words))
+        known = self.words
+        new = self.simple.learn([w for w in words if w not in known and not known.holds(w)], known)
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):

@@ -5,6 +5,7 @@ from tokenizers import Tokenizer
 
 from weftline.llm import bpe
 from weftline.llm.queries import tokenizer_path
+from weftline.llm.shared import slices
 
 
 def texts(spark):
@@ -23,7 +24,7 @@ def test_equals_the_library(spark):
     wanted = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in whole]
     for settings in ({}, {"mask_bits": 3}, {"mask_bits": 5, "words_kept": 300, "chunk_bytes_kept": 3000}):
         codec = bpe.Codec(tokenizer_path(), **settings)
-        for a, b in bpe.slices([(t or "").encode() for t in whole], 20_000):
+        for a, b in slices([(t or "").encode() for t in whole], 20_000):
             for t, ids, want in zip(whole[a:b], codec.encode_many([(t or "").encode() for t in whole[a:b]]), wanted[a:b], strict=True):
                 assert np.frombuffer(ids, "<u4").tolist() == want, repr(t)
                 assert codec.decode(ids) == tokenizer.decode(want, skip_special_tokens=False)

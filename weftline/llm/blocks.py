@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import pieces, quoted
+from weftline.llm.shared import pieces, quoted, small_batches
 
 NULL_ID = np.iinfo(np.int64).min  # a null doc_id sorts before every other
 
@@ -37,6 +37,7 @@ def plan(total_bytes: int, block_bytes: int = 6 << 20, bucket_bytes: int = 12 <<
 
 def blocked(df: DataFrame, id_col: str, text_col: str, carried: list[str], blocks: int) -> DataFrame:
     """__block, __id (long), __text, and the carried columns in one struct __row, so that no name clashes."""
+    small_batches(df.sparkSession)
     row = F.struct(*(F.col(quoted(c)).alias(c) for c in carried)) if carried else F.struct(F.lit(0).alias("none"))
     return df.select(block_of(F.col(quoted(id_col)).cast("long"), blocks).alias("__block"), F.col(quoted(id_col)).cast("long").alias("__id"), F.col(quoted(text_col)).cast("string").alias("__text"), row.alias("__row"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import others, quoted
+from weftline.llm.shared import others, quoted, slices, small_batches
 from weftline.llm.wordhash import byte_values, prefix_sums, raw
 
 MASK_BITS, SPAN = 10, 16
@@ -70,8 +70,7 @@ class Chunk:
     def words(self) -> list[bytes]:
         return [] if self.whole else self.data[len(self.head) : len(self.data) - len(self.tail)].split()
 
-    def learned(self, memory: dict[bytes, bytes]) -> None:
-        inner = self.words()
+    def learned(self, inner: list[bytes], memory: dict[bytes, bytes]) -> None:
         self.ids = b"".join(map(memory.__getitem__, inner))
         self.first = [(w, memory[w]) for w in inner[:1]]
         self.last = [(w, memory[w]) for w in inner[-1:]]
@@ -217,8 +216,9 @@ class Codec:
                 c = self.chunks.get(data) or met.get(data)
                 if c is None:
                     met[data] = c = Chunk(data)
-                    new.append(c)
-                    needed.update(c.words())
+                    inner = c.words()
+                    new.append((c, inner))
+                    needed.update(inner)
                 else:
                     self.reused += 1
                 chunks.append(c)
@@ -226,8 +226,8 @@ class Codec:
             if chunks:
                 needed.update(w for w in (chunks[0].head, chunks[-1].tail) if w)
         self.learn(needed)
-        for c in new:
-            c.learned(self.words)
+        for c, inner in new:
+            c.learned(inner, self.words)
         out = []
         for chunks in split:
             made: list[bytes] = []
@@ -242,7 +242,7 @@ class Codec:
             if broken:
                 made.append(self._joined(before, broken, None) if joined else self.words[broken])
             out.append(b"".join(made))
-        for c in new:
+        for c, _ in new:
             self.chunk_bytes += len(c.data) + len(c.ids) + 500
             if self.chunk_bytes > self.chunk_bytes_kept:
                 self.chunks.clear()
@@ -268,18 +268,6 @@ def codec(path: str, **settings) -> Codec:
     return _CODECS[key]
 
 
-def slices(texts: list[bytes], size: int = 1 << 20):
-    """Ranges of texts of about `size` bytes, one text at least."""
-    at = 0
-    while at < len(texts):
-        upto, held = at, 0
-        while upto < len(texts) and (upto == at or held + len(texts[upto]) <= size):
-            held += len(texts[upto])
-            upto += 1
-        yield at, upto
-        at = upto
-
-
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", decode: bool = True, keep_text: bool = True, digest=None, digest_fields: tuple[tuple[str, str], ...] = (), **settings) -> DataFrame:
     """docs with ids (array<int>), n_tokens and, if asked, decoded.
 
@@ -287,6 +275,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", decode: bool =
     `digest_fields` instead of ids and decoded, so that what a caller only sums up never leaves
     the worker.
     """
+    small_batches(docs.sparkSession)
     made = [T.StructField("n_tokens", T.LongType())]
     if digest is None:
         made += [T.StructField("ids", T.ArrayType(T.IntegerType(), containsNull=False)), *([T.StructField("decoded", T.StringType())] if decode else [])]

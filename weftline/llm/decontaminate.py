@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import others, pieces, quoted
+from weftline.llm.shared import others, pieces, quoted, small_batches
 from weftline.llm.wordhash import translation
 
 WIDTH = 10
@@ -100,6 +100,7 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, i
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """docs with n_words, n_hit, item_ids (sorted as strings), n_items and hits (spans of the original)."""
+    small_batches(docs.sparkSession)
     named = items.select(F.col(quoted(item_id)).cast("string").alias("id"), F.col(quoted(item_text)).cast("string").alias("text")).where(F.col("text").isNotNull())
     size = named.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     groups = pieces((size["b"] or 0) // 2, max_patterns)  # a window starts at a word, a word has two bytes at least with its blank

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import materialize, others, quoted
+from weftline.llm.shared import materialize, others, quoted, slices, small_batches
 from weftline.llm.wordhash import AS_IS, Words, raw
 
 MAX_FIT, FEATURES, PARTS, FOLDS, BINS, THRESHOLD = 60_000, 256, 16, 5, 2048, 0.3
@@ -53,10 +53,12 @@ _EDGE = _class(*b"!#$%&*@^~+=|")
 
 
 def statistics(texts: list[bytes]) -> np.ndarray:
-    """One row of STATS for each text."""
+    """One row of STATS for each text; worked out for about a megabyte of texts at a time."""
+    return np.vstack([np.zeros((0, len(STATS))), *(_statistics(texts[a:b]) for a, b in slices(texts))])
+
+
+def _statistics(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), len(STATS)))
-    if not texts:
-        return out
     w = Words(texts, AS_IS)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     for k, text in enumerate(texts):
@@ -137,7 +139,7 @@ def _stat_frame(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT, features: int = FEATURES, parts: int = PARTS, ridge: float = 1e-3, seed: int = 20240601) -> Model:
     """Learn from labels whose (id, label) rows the caller has chosen; about max_fit of them at most, by hash."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     some = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).distinct()
     n = some.count()
     if n > max_fit:  # about max_fit of them, wherever they lie
@@ -204,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from the threshold on)."""
+    small_batches(docs.sparkSession)
     carried = others(docs, text_col, *RESULTS)
     schema = T.StructType([*(docs.schema[c] for c in (*carried, text_col)), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)

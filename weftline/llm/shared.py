@@ -65,6 +65,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session leaves Arrow batches at their default of 10,000 rows, they get 1,000."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
+def slices(texts: list[bytes], size: int = 1 << 20):
+    """Ranges of texts of about `size` bytes, one text at least."""
+    at = 0
+    while at < len(texts):
+        upto, held = at, 0
+        while upto < len(texts) and (upto == at or held + len(texts[upto]) <= size):
+            held += len(texts[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.bpe import codec, slices
-from weftline.llm.shared import materialize, new_path, pieces, quoted
+from weftline.llm.bpe import codec
+from weftline.llm.shared import materialize, new_path, pieces, quoted, slices, small_batches
 from weftline.llm.wordhash import mix, raw
 
 LENGTH, SHARD_BYTES, WAVES, ROUNDS = 256, 32 << 20, 2, 6
@@ -94,6 +94,7 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, *, end_i
     The index has a row for each sequence: doc_id, seq, n_tokens, slot, shard, offset and crc32 of its record.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = "<u4" if wide else "<u2"
     stride = length * np.dtype(kind).itemsize
     per_shard = max(1, shard_bytes // stride)

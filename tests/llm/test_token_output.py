@@ -1,5 +1,9 @@
+import base64
+
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 from weftline.llm import token_output as O
@@ -14,16 +18,22 @@ def test_feistel_is_a_keyed_permutation(n):
     assert (O.feistel(np.array([n - 1]), n, 1) == a[-1:]).all()
 
 
-def test_round_trip_through_the_shards(spark, tmp_path):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.tiktoken"])
+def test_round_trip_through_the_shards(spark, tmp_path, name):
+    path = tokenizer_path(name)
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
     df = df.union(spark.createDataFrame([(900, None), (901, ""), (None, "a b"), (900, "a b")], "doc_id long, text string")).repartition(3)
     folder = f"file://{tmp_path}/shards"
-    index, manifest = O.write_shards(df, tokenizer_path(), folder, end_id=49407, pad_id=49406, length=64, shard_bytes=64 * 2 * 50)
+    index, manifest = O.write_shards(df, path, folder, end_id=49407, pad_id=49406, length=64, shard_bytes=64 * 2 * 50)
     rows = sorted(index.collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in rows] == list(range(manifest["sequences"])) and manifest["shards"] > 3
     read = list(O.read_sequences(folder))
-    tokenizer = Tokenizer.from_file(tokenizer_path())
-    wanted = sorted((-1 if r["doc_id"] is None else r["doc_id"], tuple([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 49407])) for r in df.collect())
+    if name.endswith(".json"):
+        encode = lambda t: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    else:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}  # noqa: SIM115
+        encode = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    wanted = sorted((-1 if r["doc_id"] is None else r["doc_id"], tuple([*encode(r["text"] or ""), 49407])) for r in df.collect())
     parts: dict = {}
     for r in rows:
         parts.setdefault(-1 if r["doc_id"] is None else r["doc_id"], []).append((r["seq"], tuple(read[r["slot"]][: r["n_tokens"]].tolist())))
@@ -35,7 +45,7 @@ def test_round_trip_through_the_shards(spark, tmp_path):
     assert [x.tolist() for x in O.read_sequences(folder, 77)] == [x.tolist() for x in read[77:]]
     before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "shards").iterdir() if p.suffix == ".bin"}
     (tmp_path / "shards" / O.shard_name(1)).write_bytes(b"torn")
-    O.write_shards(df, tokenizer_path(), folder, end_id=49407, pad_id=49406, length=64, shard_bytes=64 * 2 * 50)
+    O.write_shards(df, path, folder, end_id=49407, pad_id=49406, length=64, shard_bytes=64 * 2 * 50)
     assert [x.tolist() for x in O.read_sequences(folder)] == [x.tolist() for x in read]
     assert {p.name for p in (tmp_path / "shards").iterdir() if p.suffix == ".bin" and p.stat().st_mtime_ns != before[p.name]} == {O.shard_name(1)}
 

@@ -12,10 +12,10 @@ from weftline.llm.oracles import ORACLE_SQL  # noqa: F401  beside the queries, f
 from weftline.llm.shared import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def digests(ids: bytes, decoded: str) -> tuple[str, str]:
@@ -58,8 +58,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of all sequences written; <|endoftext|> ends documents, <|startoftext|> fills up."""
-    index, _ = token_output.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), end_id=49407, pad_id=49406)
+    """The index of all sequences written; ids of byte-level BPE, which keeps every byte; 50256 ends documents, 50257 fills up."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index, _ = token_output.write_shards(docs, tokenizer_path("byte_bpe_50k.tiktoken"), end_id=50256, pad_id=50257)
     return index.select("doc_id", "seq", "n_tokens", "slot", "shard", "offset", "crc32")
 
 

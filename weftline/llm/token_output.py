@@ -1,6 +1,7 @@
 """Token-ID output in training order: a keyed Feistel permutation gives every sequence its slot.
 
-1. Documents are encoded once (see bpe) and kept as little-endian 16- or 32-bit ids, each with the
+1. Documents are encoded once, by the file of a public tokenizer (`.tiktoken` ranks, which give back
+   every byte, or a `.json` file by way of bpe), and kept as little-endian 16- or 32-bit ids, each with the
    end-of-document id after it, in a table in the shared folder. A document is cut into sequences
    of `length` ids; its last one is filled up with the pad id. The table numbers the sequences of
    each of its partitions; the partitions' sums (one row a partition) make the numbers global.
@@ -26,7 +27,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,16 +70,33 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
+@lru_cache(4)
+def encoder(path: str):
+    """A function from texts to their ids; loaded once a worker."""
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        return lambda texts: [encode(t.decode()) for t in texts]
+    many = codec(path).encode_many
+    return lambda texts: [np.frombuffer(i, "<u4") for i in many(texts)]
+
+
 def encode_store(docs: DataFrame, path: str, end_id: int, *, id_col: str, text_col: str, length: int, kind: str) -> DataFrame:
     """One row a document: id, ids as bytes, and the number of its first sequence among its partition's."""
 
     def run(batches):
-        c, part, number = codec(path), TaskContext.get().partitionId(), 0
+        encode, part, number = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             texts = raw(batch.column("text"))
             for a, b in slices(texts):
-                ids = [np.frombuffer(i, "<u4").astype(kind).tobytes() + end for i in c.encode_many(texts[a:b])]
+                ids = [i.astype(kind).tobytes() + end for i in encode(texts[a:b])]
                 n = np.array([-(-len(i) // np.dtype(kind).itemsize // length) for i in ids], dtype=np.int64)
                 first = number + np.cumsum(n) - n
                 number += int(n.sum())

@@ -33,7 +33,7 @@ from weftline.llm.shared import others, quoted, slices, small_batches
 from weftline.llm.wordhash import byte_values, prefix_sums, raw
 
 MASK_BITS, SPAN = 10, 16
-WORDS_KEPT, CHUNK_BYTES_KEPT = 600_000, 48 << 20
+WORDS_KEPT, CHUNK_BYTES_KEPT = 300_000, 32 << 20
 RESULTS = ("ids", "n_tokens", "decoded")
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")

@@ -18,7 +18,7 @@ def test_whole_table(spark):
     assert result(df) == brute.byte_removal([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
-@pytest.mark.parametrize("together", [4096, 3])
+@pytest.mark.parametrize("together", [1024, 3])
 def test_repeats_inside_and_across(spark, together):
     """With together=3 the windows of common anchors travel singly."""
     rnd = random.Random(4)

@@ -40,8 +40,8 @@ from weftline.llm.shared import others, text_bytes
 from weftline.llm.wordhash import U, byte_values, mix, prefix_sums, raw
 
 WIDTH, GRAM = 100, 32
-#: Pieces of one anchor, summed over blocks, that still meet in one task; and bytes of pieces that are sorted at once.
-TOGETHER, SORTED_BYTES = 4096, 4 << 20
+#: Pieces of one anchor, summed over blocks, that still meet in one task; bytes of pieces sorted at once; members of groups marked at once.
+TOGETHER, SORTED_BYTES, MEMBERS = 1024, 1 << 18, 1 << 18
 RESULTS = ("n_bytes", "n_removed", "removed", "kept")
 _MADE = T.StructType(
     [
@@ -132,7 +132,7 @@ class Anchors:
         at = 0
         while at < len(self.texts):
             upto, held = at, 0
-            while upto < len(self.texts) and (upto == at or held + len(self.texts[upto]) < 1 << 20):
+            while upto < len(self.texts) and (upto == at or held + len(self.texts[upto]) < 1 << 18):
                 held += len(self.texts[upto])
                 upto += 1
             for found, into in zip(self._pieces(at, upto, width, gram), (docs, begins, counts, anchors, pieces), strict=True):
@@ -171,7 +171,8 @@ class Anchors:
         psums, pdown = prefix_sums(values, _PIECE_BASE)
         ends = stop + width
         content = mix((psums[ends] - psums[starts]) * pdown[starts] + (counts + U(1 << 40)).astype(U) * U(0x9E3779B97F4A7C15))
-        return own[starts] + at, starts - first[own[starts]], counts, h[chosen[starts]], content
+        # Least hashes crowd at the low end; mixed again they spread evenly over buckets.
+        return own[starts] + at, starts - first[own[starts]], counts, mix(h[chosen[starts]] ^ U(0x6A09E667F3BCC909)), content
 
     def bytes_of(self, k: int, width: int) -> bytes:
         return self.texts[self.row[k]][self.begin[k] : self.begin[k] + self.count[k] + width - 1]
@@ -189,30 +190,43 @@ class Anchors:
         return order[new], group
 
 
-def mark(texts: list[bytes], docs: np.ndarray, begins: np.ndarray, width: int) -> tuple[list[np.ndarray], list[list[tuple[int, int, int]]]]:
-    """Which windows of each distinct piece also start earlier in another; and the maximal repeat groups.
+def mark(texts: list[bytes], docs: np.ndarray, begins: np.ndarray, width: int) -> tuple[list[np.ndarray], list[tuple[int, int, int]], np.ndarray]:
+    """Which windows of each distinct piece also start earlier in another, by the maximal repeat groups of the pieces.
 
-    Pieces may overlap in their document. A group is a list of (document, start, length).
+    Also returns the groups as (length, begin, end) and the suffixes as rows (document, start): the
+    occurrences of a group are the rows begin to end.
     """
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     first = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(len(texts)), sizes)
     windows = sizes - width + 1
-    wanted = np.concatenate([np.arange(a, a + n) for a, n in zip(first, windows, strict=False)])
-    order, lcp = enhanced_suffix_array(data, owner, wanted, int(sizes.max()))
+    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    order, lcp = enhanced_suffix_array(data, owner, np.repeat(first[:-1], windows) + inner, int(sizes.max()))
     piece = owner[order]
     inner = order - first[piece]
     left = np.where(inner > 0, data[np.maximum(order - 1, 0)].astype(np.int64), -1)
-    marked = [np.zeros(n, dtype=bool) for n in windows]
-    groups = []
-    for length, a, b in repeat_groups(order, lcp, left, width):
-        places = sorted((int(docs[p]), int(begins[p] + i), int(p), int(i)) for p, i in zip(piece[a:b], inner[a:b], strict=True))
-        groups.append([(d, s, length) for d, s, _, _ in places])
-        for d, s, p, i in places:
-            if (d, s) != places[0][:2]:
-                marked[p][i : i + length - width + 1] = True
-    return marked, groups
+    groups = repeat_groups(order, lcp, left, width)
+    place = np.column_stack((docs[piece], begins[piece] + inner))
+    cover = np.zeros(len(data) + 1, dtype=np.int64)
+    if groups:
+        length, a, b = np.array(groups, dtype=np.int64).T
+        sorting = np.lexsort((place[:, 1], place[:, 0]))
+        rank = np.zeros(len(order), dtype=np.int64)
+        rank[sorting] = np.concatenate(([0], np.cumsum((np.diff(place[sorting], axis=0) != 0).any(axis=1))))
+        # Groups nest, so their members together can be many times the suffixes: a bounded number at a time.
+        turn = np.cumsum(b - a) // MEMBERS
+        for lo, hi in zip((edge := [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(a)])[:-1], edge[1:], strict=True):
+            first_of, count = a[lo:hi], (b - a)[lo:hi]
+            start = np.cumsum(count) - count
+            group = np.repeat(np.arange(hi - lo), count)
+            member = np.arange(count.sum()) - start[group] + first_of[group]
+            later = rank[member] != np.minimum.reduceat(rank[member], start)[group]
+            at, n = order[member[later]], length[lo:hi][group[later]] - width + 1
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + n, -1)
+    on = np.cumsum(cover) > 0
+    return [on[f : f + n] for f, n in zip(first[:-1].tolist(), windows.tolist(), strict=True)], groups, place
 
 
 def _anchor_counts(t: pa.Table, together: int) -> pa.Table:
@@ -258,7 +272,7 @@ class SingleWindows:
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
     """docs with n_bytes, n_removed, removed (spans of bytes) and kept (the bytes left)."""
     carried = others(docs, id_col, text_col, *RESULTS)
-    size = B.plan(text_bytes(docs, text_col), block_bytes=4 << 20)
+    size = B.plan(text_bytes(docs, text_col), block_bytes=4 << 20, bucket_bytes=6 << 20)
     buckets = size.buckets
     parted = B.blocked(docs, id_col, text_col, carried, size.blocks)
 
@@ -269,12 +283,9 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         packed = B.pack_values(t.column("__block")[0].as_py(), distinct, buckets)
         return packed.append_column("times", pa.array([times[a:b].tobytes() for _, a, b in B.split(B.bucket_of(distinct, buckets))], pa.binary()))
 
-    names = ["bucket", "anchor", "__block", "entry", "doc", "begin", "piece", "bytes"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
     def claim(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows or not answers.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+            return _packed([])
         x = Anchors(t, width, gram)
         first, _ = x.firsts()
         distinct, at = np.unique(x.anchor[first], return_inverse=True)
@@ -282,21 +293,27 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         chosen = np.flatnonzero(B.unpack_bits(distinct, buckets, answers.select(["bucket", "bits"]))[at])  # numbers of distinct pieces
         f = first[chosen]
         w = SingleWindows(x, first[_hot(distinct, buckets, answers)[at]], width)
-        cols = [
-            np.concatenate((B.bucket_of(x.anchor[f], buckets), B.bucket_of(w.one, buckets))).astype(np.int32),
-            np.concatenate((x.anchor[f], w.one)).view(np.int64),
-            np.full(len(f) + len(w.one), block, dtype=np.int32),
-            np.concatenate((chosen, -1 - np.arange(len(w.one)))).astype(np.int32),  # single windows count from -1 down
-            np.concatenate((x.doc[f], w.doc[w.first])),
-            np.concatenate((x.begin[f], w.start[w.first])),
-            np.concatenate((x.piece[f], w.two)).view(np.int64),
-            [*(x.bytes_of(k, width) for k in f.tolist()), *[None] * len(w.one)],
-        ]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+        anchor = np.concatenate((x.anchor[f], w.one))
+        columns = (
+            anchor.astype("<u8"),
+            np.concatenate((chosen, -1 - np.arange(len(w.one)))).astype("<i4"),  # single windows count from -1 down
+            np.concatenate((x.doc[f], w.doc[w.first])).astype("<i8"),
+            np.concatenate((x.begin[f], w.start[w.first])).astype("<i8"),
+            np.concatenate((x.piece[f], w.two)).astype("<u8"),
+            np.concatenate((x.count[f] + width - 1, np.zeros(len(w.one), dtype=np.int64))).astype("<u4"),
+        )
+        at = np.argsort(B.bucket_of(anchor, buckets), kind="stable")
+        rows = []
+        for k, a, b in B.split(B.bucket_of(anchor, buckets)[at]):
+            mine = at[a:b]
+            rows.append((k, block, *(c[mine].tobytes() for c in columns), b"".join([x.bytes_of(q, width) for q in f[mine[mine < len(f)]].tolist()])))
+        return _packed(rows)
 
     def settle(t: pa.Table) -> pa.Table:
-        block, entry, doc, begin, anchor, piece = (t.column(c).to_numpy() for c in ("__block", "entry", "doc", "begin", "anchor", "piece"))
-        content = t.column("bytes").combine_chunks()
+        cols = {c: t.column(c).to_pylist() for c in _PACKED}
+        anchor, entry, doc, begin, piece, size = (np.frombuffer(b"".join(cols[c]), kind) for c, kind in (("anchor", "<u8"), ("entry", "<i4"), ("doc", "<i8"), ("begin", "<i8"), ("piece", "<u8"), ("size", "<u4")))
+        block = np.repeat(np.array(t.column("__block").to_pylist(), dtype=np.int64), [len(e) // 4 for e in cols["entry"]])
+        held, ends = b"".join(cols["bytes"]), np.cumsum(size.astype(np.int64))
         order = np.lexsort((begin, doc, piece, anchor))
         a, p = anchor[order], piece[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1])))
@@ -306,7 +323,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         earliest = (doc[order] == doc[first]) & (begin[order] == begin[first])
         later, masks = order[~earliest], []
         # Pieces of anchors that have several; equal windows have equal anchors, so many anchors can be sorted as one string.
-        whole = np.flatnonzero(~np.asarray(content.is_null())[leads])
+        whole = np.flatnonzero(size[leads] > 0)
         own = anchor[leads[whole]]
         multi = whole[B.in_several(own)]
         runs = np.concatenate(([0], np.flatnonzero(np.diff(anchor[leads[multi]])) + 1, [len(multi)])).tolist() if len(multi) else [0]
@@ -314,13 +331,13 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         tails = np.concatenate((heads[1:], [len(order)]))
         at = 0
         while at < len(runs) - 1:
-            upto, held = at, 0
-            while upto < len(runs) - 1 and (upto == at or held < SORTED_BYTES):
-                held += (runs[upto + 1] - runs[upto]) * 2 * width
+            upto, taken = at, 0
+            while upto < len(runs) - 1 and (upto == at or taken < SORTED_BYTES):
+                taken += (runs[upto + 1] - runs[upto]) * 2 * width
                 upto += 1
             these = multi[runs[at] : runs[upto]]
             k = leads[these]
-            marked, _ = mark(content.take(pa.array(k)).to_pylist(), doc[k], begin[k], width)
+            marked, _, _ = mark([held[e - n : e] for e, n in zip(ends[k].tolist(), size[k].tolist(), strict=True)], doc[k], begin[k], width)
             for i, m in zip(these.tolist(), marked, strict=True):
                 if m.any():
                     bits = np.packbits(m).tobytes()
@@ -373,13 +390,22 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     # All readers of the documents share one exchange by block, the readers of the counts one by bucket.
     counted = parted.groupBy("__block").applyInArrow(send, B.PACKED_SCHEMA + ", times binary").groupBy("bucket").applyInArrow(lambda t: _anchor_counts(t, together), B.SHARED_SCHEMA + ", hot binary")
-    claims = parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(claim, "bucket int, anchor long, __block int, entry int, doc long, begin long, piece long, bytes binary")
+    claims = parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(claim, "bucket int, __block int, " + ", ".join(f"{c} binary" for c in _PACKED))
     later = claims.groupBy("bucket").applyInArrow(settle, _ANSWER)
     hot = counted.where("hot is not null").select("__block", *(F.lit(None).cast(k).alias(c) for c, k in (("later", "binary"), ("entry", "int"), ("mask", "binary"))), "bucket", "hot")
     out = parted.groupBy("__block").cogroup(later.union(hot).groupBy("__block")).applyInArrow(remove, schema)
     return out.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), *(F.col("__row")[c].alias(c) for c in carried), F.col("__text").alias(text_col), *(F.col(c) for c in RESULTS))
 
 
+_PACKED = ("anchor", "entry", "doc", "begin", "piece", "size", "bytes")
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    """One row for each bucket of a block: numbers and contents of its pieces, one behind the other; single windows have size 0."""
+    kinds = (("bucket", pa.int32()), ("__block", pa.int32()), *((c, pa.binary()) for c in _PACKED))
+    return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(kinds)})
+
+
 _ANSWER = "__block int, later binary, entry int, mask binary, bucket int, hot binary"
 
 

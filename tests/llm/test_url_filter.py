@@ -63,3 +63,37 @@ def test_nothing_to_learn_from(spark):
     assert U.mine(empty) == []
     assert U.mine(spark.createDataFrame([("http://a.b/c", True)], "url string, bad boolean")) == []
     assert U.judge(empty.drop("bad"), []).count() == 0
+
+
+def planted(spark):
+    """Three sure patterns of 12 tokens, 12,285 rules before pruning, and one pattern of lower confidence."""
+    rows = [(f"http://sure{p}.p{p}.q{p}.example/a{p}/b{p}/c{p}/d{p}/?x{p}=1", True) for p in range(3) for _ in range(10)]
+    rows += [("http://less.test/only/here", k % 10 != 0) for k in range(20)]
+    rows += [(f"http://fine{k % 9}.test/ok/{k}", False) for k in range(200)]
+    return spark.createDataFrame(rows, "url string, bad boolean")
+
+
+def test_sure_patterns_with_many_subsets_hide_no_other_rule(spark):
+    df = planted(spark)
+    mined = U.mine(df)
+    tokens = {r["url"]: set(r["t"]) for r in df.withColumn("t", U.tokens_of(U.host_of(df.url), U.path_of(df.url), df.url)).distinct().collect()}
+    less = [r for r in mined if set(r.tokens) <= tokens["http://less.test/only/here"]]
+    assert less and all(abs(r.confidence - 0.9) < 1e-9 for r in less)
+    # No kept rule has another among its tokens that does as well.
+    assert not any(set(a.tokens) < set(b.tokens) and a.confidence >= b.confidence for a in mined for b in mined)
+    verdicts = {r["url"]: r["verdict"] for r in U.judge(df.select("url"), mined, rules=()).collect()}
+    assert {u for u, v in verdicts.items() if v == "block"} == {u for u in verdicts if "sure" in u or "less" in u}
+
+
+def test_pruning_sees_past_combinations_that_are_no_rules(spark):
+    rules = [(["a"], 0.9), (["b", "c"], 0.7), (["b", "c", "d"], 0.8), (["a", "b", "c"], 0.8), (["b", "c", "e"], 0.7), (["b", "c", "d", "e"], 0.8), (["a", "b", "c", "d"], 0.95)]
+    kept = U._pruned(spark.createDataFrame([(t, c, 0.1) for t, c in rules], U.RULE_SCHEMA))
+    assert sorted(tuple(r["tokens"]) for r in kept.collect()) == [("a",), ("a", "b", "c", "d"), ("b", "c"), ("b", "c", "d")]
+
+
+def test_rules_in_a_table_that_is_not_broadcast(spark, monkeypatch):
+    df = planted(spark)
+    rules = U.mined_rules(df)
+    few = U.judge(df.select("url"), rules, rules=()).collect()
+    monkeypatch.setattr(U, "FEW_RULES", 0)
+    assert sorted(few) == sorted(U.judge(df.select("url"), rules, rules=()).collect())

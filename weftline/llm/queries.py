@@ -53,7 +53,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    mined = url_filter.mine(pages.join(bad, "page_id").select("url", "bad"))
+    mined = url_filter.mined_rules(pages.join(bad, "page_id").select("url", "bad"))
     return url_filter.judge(pages, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 

@@ -1,11 +1,12 @@
 """URL filters: allow and block rules of the operator's owner, and association rules mined from labels.
 
 A url's tokens are its host's labels and suffixes, path segments and query keys. Spark's FP-growth
-mines token combinations over labelled urls, each basket with a token for its label; an
+mines token combinations over labelled urls, each basket of a bad one with a token for its label; an
 association rule "tokens -> bad" counts if it has the support, the confidence and the lift asked
-for, and no rule on fewer of its tokens does as well (pruning). Rules are few (at most `max_rules`,
-by confidence) and are matched by an inverted index: a rule is filed under its rarest token, a
-url's tokens are joined with the index, and a rule fires if the url has all its tokens.
+for, and no rule on fewer of its tokens does as well (pruning). All such rules are kept, in a table
+in the shared folder. They are pruned from short to long and matched by an inverted index: a rule is
+filed under its rarest token, a url's tokens are joined with the index (broadcast if it was counted
+to be small), and a rule fires if the url has all its tokens.
 
 The owner's rules come first: a rule (host, path) fits its host and all subdomains where the url's
 path starts with the rule's; the longest wins (host and path characters together; block before
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import others, quoted
+from weftline.llm.shared import materialize, others, quoted
 
 RESULTS = ("host", "path", "rule", "verdict", "mined_rule")
 #: The owner's rules (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_RULES, MAX_FIT = 0.0005, 0.6, 2.0, 2000, 1_000_000
-BAD, GOOD = "label:bad", "label:good"
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_FIT = 0.0005, 0.6, 2.0, 1_000_000
+BAD = "label:bad"
+#: So many rules at most are broadcast.
+FEW_RULES = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,31 +66,65 @@ class MinedRule:
     support: float
 
 
-def mine(urls: DataFrame, *, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_rules: int = MAX_RULES, max_fit: int = MAX_FIT) -> list[MinedRule]:
-    """Rules of labelled urls (bad_col true or false); about max_fit urls at most, drawn with a fixed seed."""
+RULE_SCHEMA = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("confidence", T.DoubleType()), T.StructField("support", T.DoubleType())])
+
+
+def mine(urls: DataFrame, **settings) -> list[MinedRule]:
+    """The rules of mined_rules at the driver, for labels that give few; fewest tokens first."""
+    found = mined_rules(urls, **settings)
+    rows = [] if found is None else found.collect()
+    return [MinedRule(tuple(r["tokens"]), r["confidence"], r["support"]) for r in sorted(rows, key=lambda r: (len(r["tokens"]), r["tokens"]))]
+
+
+def mined_rules(urls: DataFrame, *, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_fit: int = MAX_FIT) -> DataFrame | None:
+    """(tokens, confidence, support): all rules of labelled urls (bad_col true or false), or None without any; about max_fit urls at most, drawn with a fixed seed."""
     url = F.col(quoted(url_col))
     baskets = urls.where(F.col(quoted(bad_col)).isNotNull()).select(url.alias("u"), F.col(quoted(bad_col)).alias("bad"))
     n = baskets.count()
     if n > max_fit:
         baskets = baskets.sample(max_fit / n, seed=7)
-    baskets = baskets.select(F.concat(tokens_of(host_of(F.col("u")), path_of(F.col("u")), F.col("u")), F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"), "bad")
+    label = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    baskets = baskets.select(F.concat(tokens_of(host_of(F.col("u")), path_of(F.col("u")), F.col("u")), label).alias("items"), "bad")
     told = baskets.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad")).first()
     if not told["n"] or not told["bad"] or told["bad"] == told["n"]:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, 5 / told["n"]), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD) & ~F.array_contains("antecedent", GOOD) & (F.col("lift") >= min_lift))
-    top = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), "\x00")).limit(max_rules).collect()
-    kept: list[MinedRule] = []
-    seen: dict[frozenset, float] = {}
-    for r in sorted(top, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"]))):
-        tokens = frozenset(r["antecedent"])
-        if not any(s < tokens and c >= r["confidence"] for s, c in seen.items()):
-            seen[tokens] = r["confidence"]
-            kept.append(MinedRule(tuple(sorted(tokens)), float(r["confidence"]), float(r["support"])))
-    return kept
-
-
-def judge(pages: DataFrame, mined: list[MinedRule], *, url_col: str = "url", rules: tuple = RULES) -> DataFrame:
+        return None
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, 5 / told["n"])).fit(baskets)
+    # Spark mines anew at every use of the sets.
+    sets = materialize(model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq").where(F.size("tokens") > 0), "op7-sets")
+    both, alone = sets.where("bad").select("tokens", F.col("freq").alias("both")), sets.where("not bad").select("tokens", "freq")
+    sure = both.join(alone, "tokens").select("tokens", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / told["n"]).alias("support"))
+    return _pruned(materialize(sure.where((F.col("confidence") >= min_confidence) & (F.col("confidence") / (told["bad"] / told["n"]) >= min_lift)), "op7-sure"))
+
+
+def _filed(rules: DataFrame) -> DataFrame:
+    """rules, each with the one of its tokens that the fewest of them have."""
+    each = rules.select("tokens", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = each.join(often, "token").groupBy("tokens").agg(F.min(F.struct("n", "token"))["token"].alias("filed"))
+    return rules.join(rarest, "tokens")
+
+
+def _pruned(rules: DataFrame) -> DataFrame | None:
+    """rules without those for which one on fewer of their tokens has their confidence, or more; None without any.
+
+    A rule that goes has a kept one in its place that does as well, so that rules are held against shorter kept ones alone.
+    """
+    sizes = sorted(r[0] for r in rules.select(F.size("tokens")).distinct().collect())
+    if not sizes:
+        return None
+    filed, kept = materialize(_filed(rules), "op7-filed"), None
+    for k in sizes:
+        level = filed.where(F.size("tokens") == k)
+        if kept is not None:
+            shorter = kept.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"), F.col("filed").alias("token"))
+            pairs = level.select("tokens", "confidence", F.explode("tokens").alias("token")).join(shorter, "token")
+            level = level.join(pairs.where((F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens").distinct(), "tokens", "left_anti")
+        level = materialize(level, "op7-kept")
+        kept = level if kept is None else kept.unionByName(level)
+    return kept.select("tokens", "confidence", "support")
+
+
+def judge(pages: DataFrame, mined: DataFrame | list[MinedRule] | None, *, url_col: str = "url", rules: tuple = RULES) -> DataFrame:
     """pages with host, path, rule (the owner's rule that decides, or null), verdict and mined_rule (tokens of the rule that blocked, or null)."""
     spark = pages.sparkSession
     carried = others(pages, *RESULTS)
@@ -101,22 +138,19 @@ def judge(pages: DataFrame, mined: list[MinedRule], *, url_col: str = "url", rul
         fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h))) & F.startswith(F.col("path"), F.lit(p))
         decided, verdict = F.when(fits, F.lit(h + p)).otherwise(decided), F.when(fits, F.lit(what)).otherwise(verdict)
     read = read.withColumns({"rule": decided, "__verdict": verdict})
-    if not mined:
+    if isinstance(mined, list):
+        mined = spark.createDataFrame([(list(r.tokens), r.confidence, r.support) for r in mined], RULE_SCHEMA) if mined else None
+    if mined is None:
         return read.select(*(F.col(quoted(c)) for c in carried), "host", "path", "rule", F.coalesce("__verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("mined_rule"))
-    often: dict[str, int] = {}
-    for r in mined:
-        for t in r.tokens:
-            often[t] = often.get(t, 0) + 1
-    index: dict[str, list[tuple]] = {}
-    for r in mined:
-        index.setdefault(min(r.tokens, key=lambda t: (often[t], t)), []).append((list(r.tokens), r.confidence))
-    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("filed", T.ArrayType(T.StructType([T.StructField("need", T.ArrayType(T.StringType())), T.StructField("confidence", T.DoubleType())])))])
-    filed = F.broadcast(spark.createDataFrame(sorted(index.items()), schema))  # at most max_rules rules
+    few = mined.count() <= FEW_RULES
+    filed = _filed(mined).select(F.col("filed").alias("token"), F.col("tokens").alias("need"), "confidence")
+    if few:
+        filed = F.broadcast(filed)
     tokens = tokens_of(F.col("host"), F.col("path"), F.col(quoted(url_col)).cast("string"))
     wide = read.withColumn("__tokens", tokens)
     # Urls repeat; each distinct token list is matched once.
     lists = wide.where(F.col("rule").isNull()).select("__tokens").distinct()
-    fired = lists.select("__tokens", F.explode("__tokens").alias("token")).join(filed, "token").select("__tokens", F.explode("filed").alias("f")).where(F.size(F.array_except("f.need", "__tokens")) == 0)
-    best = fired.groupBy("__tokens").agg(F.max(F.struct(F.col("f.confidence").alias("c"), F.array_join("f.need", " & ").alias("r"))).alias("best"))
+    fired = lists.select("__tokens", F.explode("__tokens").alias("token")).join(filed, "token").where(F.size(F.array_except("need", "__tokens")) == 0)
+    best = fired.groupBy("__tokens").agg(F.max(F.struct(F.col("confidence").alias("c"), F.array_join("need", " & ").alias("r"))).alias("best"))
     out = wide.join(best, "__tokens", "left").withColumn("mined_rule", F.when(F.col("rule").isNull(), F.col("best.r")))
     return out.select(*(F.col(quoted(c)) for c in carried), "host", "path", "rule", F.coalesce("__verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule")

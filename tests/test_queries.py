@@ -5,7 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from weftline.plans import bindings as B
+from weftline.plans import text_queries as T
 from weftline.plans.catalog import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -37,3 +40,23 @@ def test_query(spark, duck, name):
     assert sorted(made.columns) == columns
     place = [made.columns.index(c) for c in columns]
     assert rows == sorted((tuple(plain(r[k]) for k in place) for r in made.fetchall()), key=repr)
+
+
+def test_token_queries_take_long_sentences(spark):
+    rows = {f"{r['doc_id']}:{r['sent']}": r["text"] for r in B.sentences(spark, DIR).collect()}
+    wanted = {}
+    for sid, text in rows.items():
+        words = text.split(" ")
+        if len(words) > 2 and not words[1].endswith("ed"):
+            wanted[sid] = (words[1].lower(), len(words[0]) + 1, len(words[0]) + 1 + len(words[1]))
+    assert any(len(rows[sid]) > 200 for sid in wanted)
+    found = QUERIES["token_span_join_whole"](spark, DIR).collect()
+    assert len(found) == len(wanted) and {r["sid"]: (r["lemma"], r["begin"], r["end"]) for r in found} == wanted
+    covered = {r["sid"]: r["links"] for r in QUERIES["covered_tokens_whole"](spark, DIR).collect()}
+    assert covered == {sid: f"{w}@@1@{b}:{e}" for sid, (w, b, e) in wanted.items() if w}
+
+
+def test_tokens_of_all_sentences_are_those_of_short_ones(spark):
+    short = T._tokens(spark, DIR)
+    both = T._all_tokens(spark, DIR).where(F.length("sentence") <= 200)
+    assert short.count() == both.count() and short.exceptAll(both).count() == 0

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from weftline.functions import codec, markup, text, wikitext
 from weftline.operators import dictionary as D
@@ -148,28 +152,69 @@ def _tokens(spark, sf):
     return some.select(sid.alias("sid"), "doc_id", "sent", F.col("text").alias("sentence"), F.aggregate(F.split("text", " "), start, step, lambda acc: acc["t"]).alias("tokens"))
 
 
-def _spans(spark, sf):
+@F.arrow_udf(ST.ArrayType(ST.IntegerType()))
+def _begins(texts: pa.Array) -> pa.Array:
+    """Where the blank-separated tokens of each text begin, in one pass."""
+    words = pc.split_pattern(texts, " ")
+    first = words.offsets.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(words.flatten()).to_numpy() + 1, dtype=np.int64)])
+    begins = ends[first[0] : first[-1]] - np.repeat(ends[first[:-1]], np.diff(first))
+    return pa.ListArray.from_arrays(pa.array(first - first[0], pa.int32()), pa.array(begins, pa.int32()))
+
+
+def _all_tokens(spark, sf):
+    """The same of all sentences, however long."""
+    rows = B.sentences(spark, sf).select("doc_id", "sent", "text", _begins("text").alias("b"))
+
+    def item(w, k):
+        b = F.get("b", k)
+        return F.struct(b.alias("begin"), (b + F.length(w)).alias("end"), w.alias("text"), F.when(F.endswith(w, F.lit("ed")), "VB").otherwise("NN").alias("pos"), F.lower(w).alias("lemma"))
+
+    return rows.select(F.concat_ws(":", "doc_id", "sent").alias("sid"), "doc_id", "sent", F.col("text").alias("sentence"), F.transform(F.split("text", " "), item).alias("tokens"))
+
+
+def _spans(tokens):
     """Links over the second token, over the second and third, and over half of the second."""
     t = lambda k: F.get("tokens", F.lit(k - 1))
     link = lambda b, e, name: F.struct(F.lit(None).cast("string").alias("lemma"), F.lit(name).alias("target"), b.alias("begin"), e.alias("end"))
-    rows = _tokens(spark, sf).where(F.size("tokens") > 2)
+    rows = tokens.where(F.size("tokens") > 2)
     return rows.withColumn("links", F.array(link(t(2)["begin"], t(2)["end"], "One"), link(t(2)["begin"], t(3)["end"], "Two"), link(t(2)["begin"], (t(2)["begin"] + t(2)["end"]).cast("int") - t(2)["begin"] - 1, "Half")))
 
 
 @query(_TOKENS + ", second AS (SELECT * FROM tokens WHERE k = 2 AND (doc_id, sent) IN (SELECT (doc_id, sent) FROM tokens WHERE k = 3)) SELECT doc_id || ':' || sent AS sid, lower(w) AS lemma, 'One' AS target, b AS \"begin\", CAST(b + length(w) AS INTEGER) AS \"end\" FROM second WHERE NOT ends_with(w, 'ed')")
 def token_span_join(spark, sf):
-    sentences = _spans(spark, sf).select(F.col("sid").alias("sentence"), "tokens", "links")
+    sentences = _spans(_tokens(spark, sf)).select(F.col("sid").alias("sentence"), "tokens", "links")
     return D.noun_link_lemmas(sentences).withColumnRenamed("sentence", "sid")
 
 
 @query(_TOKENS + ", second AS (SELECT * FROM tokens WHERE k = 2 AND (doc_id, sent) IN (SELECT (doc_id, sent) FROM tokens WHERE k = 3)) SELECT doc_id || ':' || sent AS sid, lower(w) || '@@1@' || b || ':' || (b + length(w)) AS links FROM second WHERE NOT ends_with(w, 'ed') AND length(w) > 0")
 def covered_tokens(spark, sf):
     """Links that cover exactly one token, a noun; their targets go through a redirect."""
+    return _covered(spark, _tokens(spark, sf))
+
+
+def _covered(spark, tokens):
     led = spark.createDataFrame([("One", "1"), ("Half", "1/2")], "source string, destination string")
-    made = D.lemmatize_links(_spans(spark, sf).where(F.length(F.get("tokens", F.lit(1))["text"]) > 0), led)
+    made = D.lemmatize_links(_spans(tokens).where(F.length(F.get("tokens", F.lit(1))["text"]) > 0), led)
     return made.select("sid", codec.encode_links(F.col("links")).alias("links"))
 
 
+_SECOND = f"""WITH {B.SENTENCES}, second AS (SELECT doc_id, sent, ws[2] AS w, CAST(length(ws[1]) + 1 AS INTEGER) AS b FROM (SELECT doc_id, sent, string_split(text, ' ') AS ws FROM sentences) WHERE len(ws) > 2 AND NOT ends_with(ws[2], 'ed'))"""
+
+
+@query(_SECOND + " SELECT doc_id || ':' || sent AS sid, lower(w) AS lemma, 'One' AS target, b AS \"begin\", CAST(b + length(w) AS INTEGER) AS \"end\" FROM second")
+def token_span_join_whole(spark, sf):
+    """token_span_join over sentences of any length."""
+    sentences = _spans(_all_tokens(spark, sf)).select(F.col("sid").alias("sentence"), "tokens", "links")
+    return D.noun_link_lemmas(sentences).withColumnRenamed("sentence", "sid")
+
+
+@query(_SECOND + " SELECT doc_id || ':' || sent AS sid, lower(w) || '@@1@' || b || ':' || (b + length(w)) AS links FROM second WHERE length(w) > 0")
+def covered_tokens_whole(spark, sf):
+    """covered_tokens over sentences of any length."""
+    return _covered(spark, _all_tokens(spark, sf))
+
+
 @query("WITH lined AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), rebased AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM lined WHERE length(line) > 0) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CAST(shift AS BIGINT) AS \"begin\", CAST(shift + length(line) AS BIGINT) AS \"end\" FROM rebased")
 def document_text_rebase(spark, sf):
     """Spans of a document's non-empty lines in the text of these lines, each with its line break."""

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators.links import find_all
 from weftline.plans import bindings as B
 from weftline.plans import text_queries as T
 from weftline.plans.catalog import ORACLE_SQL, QUERIES
@@ -60,3 +61,16 @@ def test_tokens_of_all_sentences_are_those_of_short_ones(spark):
     short = T._tokens(spark, DIR)
     both = T._all_tokens(spark, DIR).where(F.length("sentence") <= 200)
     assert short.count() == both.count() and short.exceptAll(both).count() == 0
+
+
+def test_implicit_minus_explicit_links(spark):
+    rows = T._discourse(spark, DIR).collect()
+    texts, explicit = {}, set()
+    for r in rows:
+        for x in r["links"]:
+            texts.setdefault(r["title"], set()).add((r["text"][x["begin"] : x["end"]], x["target"]))
+            explicit.add((r["title"], r["sent"], x["target"], x["begin"], x["end"]))
+    found = {(r["title"], r["sent"], target, b, e) for r in rows for word, target in texts.get(r["title"], ()) for b, e in find_all(r["text"], word)}
+    made = [tuple(r) for r in QUERIES["implicit_minus_explicit_links"](spark, DIR).collect()]
+    assert found & explicit and len(made) == len(set(made)) and set(made) == found - explicit
+    assert sorted(made) == sorted(tuple(r) for r in QUERIES["implicit_links"](spark, DIR).collect())

@@ -39,18 +39,25 @@ def explicit_links(sentences: DataFrame, config: PipelineConfig | None = None) -
 
 
 def implicit_links(sentences: DataFrame) -> DataFrame:
-    """(title, sent, target, begin, end): further occurrences, anywhere in the page, of the texts of its links.
+    """(title, sent, target, begin, end): link_occurrences that are no explicit links themselves."""
+    return link_occurrences(sentences).join(link_spans(sentences), ["title", "sent", "target", "begin", "end"], "left_anti")
+
+
+def link_occurrences(sentences: DataFrame) -> DataFrame:
+    """(title, sent, target, begin, end): occurrences, anywhere in the page, of the texts of its links, the links among them.
 
     One sense per discourse: each text of a page's links points to the link's target wherever it
-    stands as a word. The page's texts meet its sentences in a join by title. Occurrences that are
-    explicit links themselves are left out.
+    stands as a word. The page's texts meet its sentences in a join by title.
     """
     link = sentences.select("title", "text", F.explode("links").alias("l"))
     anchors = link.select("title", F.substr("text", F.col("l.begin") + 1, F.col("l.end") - F.col("l.begin")).alias("word"), F.col("l.target").alias("target")).where(F.length("word") > 0).distinct()
     both = sentences.select("title", "sent", "text").join(anchors, "title").where(F.instr(F.col("text"), F.col("word")) > 0)
-    found = occurrences(both)
-    explicit = sentences.select("title", "sent", F.explode("links").alias("l")).select("title", "sent", "l.target", "l.begin", "l.end")
-    return found.select("title", "sent", "target", "begin", "end").distinct().join(explicit, ["title", "sent", "target", "begin", "end"], "left_anti")
+    return occurrences(both).select("title", "sent", "target", "begin", "end").distinct()
+
+
+def link_spans(sentences: DataFrame) -> DataFrame:
+    """(title, sent, target, begin, end) of the explicit links."""
+    return sentences.select("title", "sent", F.explode("links").alias("l")).select("title", "sent", "l.target", "l.begin", "l.end")
 
 
 def occurrences(rows: DataFrame) -> DataFrame:

@@ -131,6 +131,13 @@ def implicit_minus_explicit(spark, sf):
     return a.where("pos % 2 = 0").select("page_id", "link_text", "target").subtract(a.where("pos % 3 = 0").select("page_id", "link_text", "target"))
 
 
+@query()
+def implicit_minus_explicit_links(spark, sf):
+    """The set difference of all sentences' link occurrences and explicit links."""
+    rows = _discourse(spark, sf)
+    return L.link_occurrences(rows).subtract(L.link_spans(rows))
+
+
 @query(f"WITH {B.ANCHORS} SELECT DISTINCT page_id, link_text, target FROM anchors")
 def dedupe_links(spark, sf):
     return B.anchors(spark, sf).dropDuplicates(["page_id", "link_text", "target"]).select("page_id", "link_text", "target")

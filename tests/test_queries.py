@@ -74,3 +74,9 @@ def test_implicit_minus_explicit_links(spark):
     made = [tuple(r) for r in QUERIES["implicit_minus_explicit_links"](spark, DIR).collect()]
     assert found & explicit and len(made) == len(set(made)) and set(made) == found - explicit
     assert sorted(made) == sorted(tuple(r) for r in QUERIES["implicit_links"](spark, DIR).collect())
+
+
+def test_surface_text_filter_keeps_and_drops_links(spark):
+    links = [r["links"] for r in QUERIES["surface_text_filter"](spark, DIR).collect()]
+    assert 0 < len(links) < B.sentences(spark, DIR).count()
+    assert any("  " in x for x in links) and any("  " not in x for x in links)

@@ -222,6 +222,20 @@ def covered_tokens_whole(spark, sf):
     return _covered(spark, _all_tokens(spark, sf))
 
 
+@query(f"""WITH {B.SENTENCES}, words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark),
+two AS (SELECT doc_id || ':' || sent AS sid, text AS sentence, string_split(text, ' ') AS ws FROM sentences),
+found AS (SELECT sid, sentence, concat_ws('  ', CASE WHEN ws[1] IN (SELECT word FROM words) THEN 'First@0:' || length(ws[1]) END, CASE WHEN ws[2] IN (SELECT word FROM words) THEN 'Second@' || (length(ws[1]) + 1) || ':' || (length(ws[1]) + 1 + length(ws[2])) END) AS links FROM two WHERE len(ws) > 1)
+SELECT * FROM found WHERE links <> ''""")
+def surface_text_filter(spark, sf):
+    """Links over the first two words of all sentences, kept where their text is a word of the benchmark."""
+    words = B.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    ws = F.split("text", " ")
+    rows = B.sentences(spark, sf).select(F.concat_ws(":", "doc_id", "sent").alias("sid"), F.col("text").alias("sentence"), F.length(F.get(ws, F.lit(0))).alias("a"), F.length(F.get(ws, F.lit(1))).alias("b")).where(F.col("b").isNotNull())
+    link = lambda b, e, name: F.struct(F.lit(None).cast("string").alias("lemma"), F.lit(name).alias("target"), b.alias("begin"), e.alias("end"))
+    links = F.array(link(F.lit(0), F.col("a"), "First"), link(F.col("a") + 1, F.col("a") + 1 + F.col("b"), "Second"))
+    return filters.by_surface_text(rows.select("sid", "sentence", links.alias("links")), words).select("sid", "sentence", codec.encode_links(F.col("links")).alias("links"))
+
+
 @query("WITH lined AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), rebased AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM lined WHERE length(line) > 0) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CAST(shift AS BIGINT) AS \"begin\", CAST(shift + length(line) AS BIGINT) AS \"end\" FROM rebased")
 def document_text_rebase(spark, sf):
     """Spans of a document's non-empty lines in the text of these lines, each with its line break."""

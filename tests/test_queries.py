@@ -80,3 +80,14 @@ def test_surface_text_filter_keeps_and_drops_links(spark):
     links = [r["links"] for r in QUERIES["surface_text_filter"](spark, DIR).collect()]
     assert 0 < len(links) < B.sentences(spark, DIR).count()
     assert any("  " in x for x in links) and any("  " not in x for x in links)
+
+
+def test_document_text_rebase_goes_through_the_codec(spark, monkeypatch):
+    called = []
+    for name in ("document_links", "document_text"):
+        monkeypatch.setattr(T.codec, name, lambda c, f=getattr(T.codec, name), name=name: called.append(name) or f(c))
+    spans, texts = QUERIES["document_text_rebase"](spark, DIR).collect(), {r["doc_id"]: r["text"] for r in QUERIES["document_text_lines"](spark, DIR).collect()}
+    assert called == ["document_links", "document_text"]
+    lines = {r["doc_id"]: r["text"].replace("\t", " ").split("\n") for r in spark.read.parquet(f"{DIR}/documents.parquet").collect() if r["text"]}
+    assert len(spans) == sum(1 for x in lines.values() for y in x if y)
+    assert all(texts[r["doc_id"]][r["begin"] : r["end"] + 1] == lines[r["doc_id"]][r["pos"]] + "\n" for r in spans)

@@ -236,14 +236,24 @@ def surface_text_filter(spark, sf):
     return filters.by_surface_text(rows.select("sid", "sentence", links.alias("links")), words).select("sid", "sentence", codec.encode_links(F.col("links")).alias("links"))
 
 
+def _lined(spark, sf):
+    """Documents as lines `sentence TAB links`, each line linked as a whole to its place; tabs of the text become blanks."""
+    line = lambda x, k: F.when(F.length(x) > 0, F.concat(x, F.lit("\t"), k.cast("string"), F.lit("@0:"), F.length(x).cast("string"))).otherwise("")
+    lines = F.transform(F.split(F.translate("text", "\t", " "), "\n"), line)
+    return B.table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("document"))
+
+
 @query("WITH lined AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), rebased AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM lined WHERE length(line) > 0) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CAST(shift AS BIGINT) AS \"begin\", CAST(shift + length(line) AS BIGINT) AS \"end\" FROM rebased")
 def document_text_rebase(spark, sf):
     """Spans of a document's non-empty lines in the text of these lines, each with its line break."""
-    from pyspark.sql import Window
+    found = _lined(spark, sf).select("doc_id", F.explode(codec.document_links(F.col("document"))).alias("x"))
+    return found.select("doc_id", F.col("x.resource").cast("int").alias("pos"), F.col("x.begin").cast("bigint").alias("begin"), F.col("x.end").cast("bigint").alias("end"))
+
 
-    lined = B.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") > 0)
-    shift = F.coalesce(F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lined.withColumn("begin", shift).select("doc_id", "pos", F.col("begin").cast("bigint").alias("begin"), (F.col("begin") + F.length("line")).cast("bigint").alias("end"))
+@query("SELECT doc_id, list_aggregate(list_transform(list_filter(string_split(translate(text, chr(9), ' '), chr(10)), lambda x: length(x) > 0), lambda x: x || chr(10)), 'string_agg', '') AS text FROM documents WHERE length(replace(text, chr(10), '')) > 0")
+def document_text_lines(spark, sf):
+    """The text that document_text_rebase's spans lie in."""
+    return _lined(spark, sf).select("doc_id", codec.document_text(F.col("document")).alias("text")).where("text <> ''")
 
 
 @query(_PAGES.replace("WITH RECURSIVE", "WITH") + " SELECT page_id, 'Page_' || page_id AS title, CASE WHEN page_id % 5 = 0 THEN 'Page ' || (page_id + 1) END AS redirect, CAST(length(url) AS INTEGER) AS n FROM pages WHERE page_id % 3 <> 0")

@@ -38,3 +38,20 @@ def test_equal_ids_do_not_remove_each_other(spark):
     text = " ".join(f"k{i}" for i in range(40))
     df = spark.createDataFrame([(7, text), (7, text)], "doc_id long, text string")
     assert [r["n_removed"] for r in S.substring_dedup(df).collect()] == [0, 0]
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    word = b"a"
+    for _ in range(10):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    words = [f"k{i}" for i in range(20)]
+    rows = [(1, " ".join([*words[:7], word.decode(), *words[7:]])), (2, " ".join([*words[:7], word.translate(bytes.maketrans(b"ab", b"ba")).decode(), *words[7:]]))]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute.substring_removal(rows)
+
+
+def test_long_text(spark):
+    """Read in slices of a megabyte, cut between words."""
+    rnd = random.Random(8)
+    text = " ".join(f"w{rnd.randrange(10**7)}" for _ in range(450_000))
+    rows = [(1, text), (2, text[1000:9000] + " x " + text[-3000:]), (3, "y" * 3_000_000 + " " + text[:500])]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute.substring_removal(rows)

@@ -59,7 +59,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 def _statistics(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), len(STATS)))
-    w = Words(texts, AS_IS)
+    w = Words(texts, AS_IS, places=True)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     for k, text in enumerate(texts):
         if text:

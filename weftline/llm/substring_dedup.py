@@ -30,6 +30,8 @@ from weftline.llm.shared import others, text_bytes
 from weftline.llm.wordhash import AS_IS, Words, raw
 
 WIDTH = 20
+#: Seed of the words' hashes and base of the windows' for the check that is independent of the first hash.
+SECOND = (0x51ED270B7A3F12C5, 0x369DEA0F31A53F85)
 RESULTS = ("n_words", "n_removed", "removed", "kept")
 _MADE = T.StructType(
     [
@@ -81,7 +83,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         w = Windows(t, width)
         marked = B.unpack_bits(w.distinct, buckets, answers)
         chosen = w.first[marked]
-        check = w.words.windows(width, second=True)[1][chosen]
+        check = Words(w.texts, AS_IS, seed=SECOND[0]).windows(width, base=SECOND[1])[1][chosen]
         h = w.distinct[marked]
         rows = []
         for k, a, b in B.split(B.bucket_of(h, buckets)):

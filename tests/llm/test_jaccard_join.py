@@ -69,3 +69,44 @@ def test_folded_sketches_bound_the_difference():
         differ, both = len(np.setxor1d(a, b)), len(np.intersect1d(a, b))
         if 9 * differ <= len(a) + len(b):
             assert J.may_link(len(a), len(b), s.sketch(0), s.sketch(1)), (differ, both)
+
+
+def near_family(rnd, first_id, members, size, changes):
+    """Near copies of one text, each with some words of its own: many pairs just above and just below 0.8."""
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+    rows = []
+    for k in range(members):
+        mine = list(words)
+        for _ in range(rnd.randrange(1, changes + 1)):
+            mine[rnd.randrange(size)] = f"v{rnd.randrange(10**6)}"
+        rows.append((first_id + k, " ".join(mine)))
+    return rows
+
+
+def test_families_of_near_copies(spark, monkeypatch):
+    """Small tiles and one pair a component: many rounds, components of several tiles, keys of few and of many members."""
+    monkeypatch.setattr(J, "TILE", 8)
+    rnd = random.Random(17)
+    rows = near_family(rnd, 0, 60, 120, 3) + near_family(rnd, 1000, 40, 60, 2) + near_family(rnd, 2000, 50, 200, 6) + near_family(rnd, 3000, 30, 25, 1)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = brute.jaccard_components(rows)
+    assert result(df) == expected
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_join(df, best=1).collect()} == expected
+    assert 4 < len({c for _, c in expected.values()}) < len(rows)
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    word = b"a"
+    for _ in range(10):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba")).decode()
+    rows = [(1, f"u v {word.decode()} x y"), (2, f"u v {other} x y"), (3, f"u v {other} x y")]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == {1: (1, 1), 2: (1, 2), 3: (1, 2)}
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (2, b), (9, c), (9, ""), (4, c)]
+    out = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out == {(5, 8): 2, (3, 8): 2, (2, 8): 2, (9, 8): 4, (9, 0): 4, (4, 8): 4}

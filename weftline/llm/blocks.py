@@ -90,6 +90,27 @@ def shared_values(t: pa.Table) -> pa.Table:
     return pa.table({"__block": pa.array([b for _, b, _ in found], pa.int32()), "bucket": pa.array([k for k, _, _ in found], pa.int32()), "bits": pa.array([x for *_, x in found], pa.binary())})
 
 
+def shared_classes(t: pa.Table) -> pa.Table:
+    """As shared_values, and for each marked value a byte: the binary logarithm of the number of blocks that have it."""
+    packed = t.column("packed").to_pylist()
+    values = np.frombuffer(b"".join(packed), dtype="<u4")
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    edge = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.concatenate((edge, [len(v)])))
+    classes = np.zeros(len(v), dtype=np.uint8)
+    classes[order] = np.repeat(np.log2(np.maximum(times, 1)).astype(np.uint8), times)
+    found, at = [], 0
+    for bucket, block, p in zip(t.column("bucket").to_pylist(), t.column("__block").to_pylist(), packed, strict=True):
+        own = classes[at : at + len(p) // 4]
+        at += len(own)
+        if own.any():
+            found.append((block, bucket, np.packbits(own > 0).tobytes(), own[own > 0].tobytes()))
+    kinds = (("__block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("classes", pa.binary()))
+    return pa.table({n: pa.array([f[k] for f in found], kind) for k, (n, kind) in enumerate(kinds)})
+
+
+CLASSES_SCHEMA = "__block int, bucket int, bits binary, classes binary"
 SHARED_SCHEMA = "__block int, bucket int, bits binary"
 PACKED_SCHEMA = "bucket int, __block int, packed binary"
 
@@ -114,3 +135,14 @@ def unpack_bits(h: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
         if k in told:
             out[a:b] = np.unpackbits(np.frombuffer(told[k], dtype=np.uint8), count=b - a).astype(bool)
     return out
+
+
+def unpack_classes(h: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
+    """The answers of shared_classes as one class for each of the hashes that pack_values was given; 0 for those of one block."""
+    out = np.zeros(len(h), dtype=np.uint8)
+    told = {k: (bits, classes) for k, bits, classes in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "classes")), strict=True)}
+    for k, a, b in split(bucket_of(h, buckets)):
+        if k in told:
+            bits, classes = told[k]
+            out[a:b][np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)] = np.frombuffer(classes, dtype=np.uint8)
+    return out

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from weftline.llm import url_filter as U
 from weftline.llm.queries import op7_url_filter
 
@@ -97,3 +99,37 @@ def test_rules_in_a_table_that_is_not_broadcast(spark, monkeypatch):
     few = U.judge(df.select("url"), rules, rules=()).collect()
     monkeypatch.setattr(U, "FEW_RULES", 0)
     assert sorted(few) == sorted(U.judge(df.select("url"), rules, rules=()).collect())
+
+
+def test_long_paths_do_not_multiply(spark):
+    """30 segments that always come together are one item to the miner, and each of them tells a url."""
+    path = "/".join("s" + chr(97 + k // 10) + chr(97 + k % 10) for k in range(30))
+    rows = [(f"http://long.test/{path}/?q=1", True)] * 20 + [(f"http://fine{k % 9}.test/ok/{k}", False) for k in range(100)]
+    rules = U.mined_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert rules.count() == 1 and len(rules.first()["classes"][0]) > 30
+    pages = spark.createDataFrame([(f"http://elsewhere.test/{x}",) for x in ("saa", "x/scj", "ok", "sdd")], "url string")
+    assert [r["verdict"] for r in U.judge(pages, rules, rules=()).orderBy("url").collect()] == ["allow", "block", "allow", "block"]
+
+
+def test_the_query_blocks_by_mined_rules(spark, tmp_path):
+    """As registered, over tables in which labels do relate to urls: verdicts of all urls without an owner's rule come from mined rules."""
+    urls = [f"http://shop{k % 7}.pills.test/buy/{k}" if k % 3 == 0 else f"http://news{k % 5}.paper.test/read/{k}" for k in range(600)] + ["http://a.net/buy/1", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(0, 600, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r["page_id"]: r for r in op7_url_filter(spark, str(tmp_path)).collect()}
+    assert len(rows) == 602
+    for k in range(600):
+        assert (rows[k]["verdict"], rows[k]["rule"]) == ("block" if k % 3 == 0 else "allow", None)
+        assert (rows[k]["mined_rule"] is not None) == (k % 3 == 0)
+    assert (rows[600]["verdict"], rows[600]["rule"]) == ("block", "net/") and rows[601]["verdict"] == "allow"
+
+
+def test_clashing_names(spark):
+    names = ["best", "token", "need", "confidence", "item", "has", "tokens", "verdict", "host", "path", "rule", "mined_rule", "__row", "__url", "__tokens", "__mined", "__verdict", "filed", "a.b"]
+    df = planted(spark).select("url").distinct()
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    rules = U.mined_rules(planted(spark))
+    out = U.judge(df, rules, rules=()).collect()
+    assert len(out) == df.count() and {r["best"] for r in out} == {"best"} and {r["__row"] for r in out} == {"__row"} and {r["a.b"] for r in out} == {"a.b"}
+    assert all((r["verdict"] == "block") == ("sure" in r["url"] or "less" in r["url"]) for r in out)

@@ -1,11 +1,13 @@
 """URL filters: allow and block rules of the operator's owner, and association rules mined from labels.
 
 A url's tokens are its host's labels and suffixes, path segments and query keys. Spark's FP-growth
-mines token combinations over labelled urls, each basket of a bad one with a token for its label; an
+mines token combinations over labelled urls, each basket of a bad one with a token for its label.
+Tokens that stand in the very same labelled urls are one class, mined as one item, and any of them
+stands for it in a rule: so long paths do not multiply into all subsets of their segments. An
 association rule "tokens -> bad" counts if it has the support, the confidence and the lift asked
 for, and no rule on fewer of its tokens does as well (pruning). All such rules are kept, in a table
 in the shared folder. They are pruned from short to long and matched by an inverted index: a rule is
-filed under its rarest token, a url's tokens are joined with the index (broadcast if it was counted
+filed under its rarest item, a url's items are joined with the index (broadcast if it was counted
 to be small), and a rule fires if the url has all its tokens.
 
 The owner's rules come first: a rule (host, path) fits its host and all subdomains where the url's
@@ -13,21 +15,23 @@ path starts with the rule's; the longest wins (host and path characters together
 allow between equals). Urls without a fitting rule get the method's verdict.
 
 Defined cases: a null url or one without :// has an empty host and path, has no tokens and is
-allowed; repeated urls are judged alike; with no labels, one class or an empty table nothing is
+allowed; repeated urls are judged alike; urls of any length are read whole; with no labels, one class or an empty table nothing is
 mined and all other urls are allowed; other columns pass through, those named like a result are
 replaced.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import materialize, others, quoted
+from weftline.llm.shared import materialize, others, partitions, quoted
 
 RESULTS = ("host", "path", "rule", "verdict", "mined_rule")
 #: The owner's rules (verdict, host, path).
@@ -70,30 +74,56 @@ RULE_SCHEMA = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType()))
 
 
 def mine(urls: DataFrame, **settings) -> list[MinedRule]:
-    """The rules of mined_rules at the driver, for labels that give few; fewest tokens first."""
+    """The rules of mined_rules at the driver, for labels that give few, with every choice of a token of each class; fewest tokens first."""
     found = mined_rules(urls, **settings)
     rows = [] if found is None else found.collect()
-    return [MinedRule(tuple(r["tokens"]), r["confidence"], r["support"]) for r in sorted(rows, key=lambda r: (len(r["tokens"]), r["tokens"]))]
+    each = [MinedRule(tuple(sorted(tokens)), r["confidence"], r["support"]) for r in rows for tokens in product(*r["classes"])]
+    return sorted(each, key=lambda r: (len(r.tokens), r.tokens))
+
+
+def _classes(items: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that `least` baskets (id, tokens) have or more: item is the first of all tokens that stand in the same baskets.
+
+    Baskets are told apart by the sums of two 64-bit hashes of their numbers.
+    """
+    each = items.select("id", F.explode("tokens").alias("token"))
+    where = each.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where(F.col("c") >= least)
+    first = where.groupBy("c", "x", "y").agg(F.collect_set("token").alias("all"))
+    return first.select(F.explode("all").alias("token"), F.array_min("all").alias("item"))
 
 
 def mined_rules(urls: DataFrame, *, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_fit: int = MAX_FIT) -> DataFrame | None:
-    """(tokens, confidence, support): all rules of labelled urls (bad_col true or false), or None without any; about max_fit urls at most, drawn with a fixed seed."""
+    """(tokens, classes, confidence, support): all rules of labelled urls (bad_col true or false), or None without any; about max_fit urls at most, drawn with a fixed seed.
+
+    tokens are items; classes has for each of them, in the same order, the tokens that stand for it.
+    """
     url = F.col(quoted(url_col))
-    baskets = urls.where(F.col(quoted(bad_col)).isNotNull()).select(url.alias("u"), F.col(quoted(bad_col)).alias("bad"))
-    n = baskets.count()
+    labelled = urls.where(F.col(quoted(bad_col)).isNotNull()).select(url.alias("u"), F.col(quoted(bad_col)).alias("bad"))
+    n = labelled.count()
     if n > max_fit:
-        baskets = baskets.sample(max_fit / n, seed=7)
-    label = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    baskets = baskets.select(F.concat(tokens_of(host_of(F.col("u")), path_of(F.col("u")), F.col("u")), label).alias("items"), "bad")
+        labelled = labelled.sample(max_fit / n, seed=7)
+    baskets = materialize(labelled.select(F.monotonically_increasing_id().alias("id"), tokens_of(host_of(F.col("u")), path_of(F.col("u")), F.col("u")).alias("tokens"), "bad"), "op7-baskets")
     told = baskets.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad")).first()
     if not told["n"] or not told["bad"] or told["bad"] == told["n"]:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, 5 / told["n"])).fit(baskets)
+    least = max(math.ceil(min_support * told["n"]), 5)
+    classes = materialize(_classes(baskets, least), "op7-classes")
+    items = baskets.select("id", "bad", F.explode("tokens").alias("token")).join(classes, "token").groupBy("id", "bad").agg(F.collect_set("item").alias("items"))
+    items = materialize(items.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "op7-items")
+    held = items.count()
+    if not held:
+        return None
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / held, numPartitions=partitions(urls.sparkSession)).fit(items)
     # Spark mines anew at every use of the sets.
     sets = materialize(model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq").where(F.size("tokens") > 0), "op7-sets")
     both, alone = sets.where("bad").select("tokens", F.col("freq").alias("both")), sets.where("not bad").select("tokens", "freq")
     sure = both.join(alone, "tokens").select("tokens", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / told["n"]).alias("support"))
-    return _pruned(materialize(sure.where((F.col("confidence") >= min_confidence) & (F.col("confidence") / (told["bad"] / told["n"]) >= min_lift)), "op7-sure"))
+    rules = _pruned(materialize(sure.where((F.col("confidence") >= min_confidence) & (F.col("confidence") / (told["bad"] / told["n"]) >= min_lift)), "op7-sure"))
+    if rules is None:
+        return None
+    named = classes.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("class"))
+    spread = rules.select("tokens", F.posexplode("tokens").alias("k", "item")).join(named, "item").groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("k", "class"))).alias("all"))
+    return materialize(rules.join(spread.select("tokens", F.transform("all", lambda x: x["class"]).alias("classes")), "tokens").select("tokens", "classes", "confidence", "support"), "op7-rules")
 
 
 def _filed(rules: DataFrame) -> DataFrame:
@@ -130,7 +160,8 @@ def judge(pages: DataFrame, mined: DataFrame | list[MinedRule] | None, *, url_co
     carried = others(pages, *RESULTS)
     url = F.col(quoted(url_col)).cast("string")
     host, path = host_of(url), path_of(url)
-    read = pages.select(*(F.col(quoted(c)).alias(c) for c in carried), host.alias("host"), path.alias("path"))
+    row = F.struct(*(F.col(quoted(c)).alias(c) for c in carried)) if carried else F.lit(None)
+    read = pages.select(row.alias("__row"), url.alias("__url"), host.alias("host"), path.alias("path"))
     decided = F.lit(None).cast("string")
     verdict = F.lit(None).cast("string")
     # Longest last, so that its branch is outermost.
@@ -140,17 +171,22 @@ def judge(pages: DataFrame, mined: DataFrame | list[MinedRule] | None, *, url_co
     read = read.withColumns({"rule": decided, "__verdict": verdict})
     if isinstance(mined, list):
         mined = spark.createDataFrame([(list(r.tokens), r.confidence, r.support) for r in mined], RULE_SCHEMA) if mined else None
+    back = [F.col("__row")[c].alias(c) for c in carried]
     if mined is None:
-        return read.select(*(F.col(quoted(c)) for c in carried), "host", "path", "rule", F.coalesce("__verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("mined_rule"))
-    few = mined.count() <= FEW_RULES
-    filed = _filed(mined).select(F.col("filed").alias("token"), F.col("tokens").alias("need"), "confidence")
-    if few:
+        return read.select(*back, "host", "path", "rule", F.coalesce("__verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("mined_rule"))
+    if "classes" not in mined.columns:
+        mined = mined.withColumn("classes", F.transform("tokens", lambda t: F.array(t)))
+    filed = _filed(mined).select(F.col("filed").alias("item"), F.col("tokens").alias("need"), "confidence")
+    stands = mined.select(F.explode(F.arrays_zip("tokens", "classes")).alias("x")).select(F.col("x.tokens").alias("item"), F.explode("x.classes").alias("token")).distinct()
+    if mined.count() <= FEW_RULES:
         filed = F.broadcast(filed)
-    tokens = tokens_of(F.col("host"), F.col("path"), F.col(quoted(url_col)).cast("string"))
-    wide = read.withColumn("__tokens", tokens)
-    # Urls repeat; each distinct token list is matched once.
+    wide = read.withColumn("__tokens", tokens_of(F.col("host"), F.col("path"), F.col("__url")))
+    # Urls repeat; each distinct token list is matched once, by the items that its tokens stand for.
     lists = wide.where(F.col("rule").isNull()).select("__tokens").distinct()
-    fired = lists.select("__tokens", F.explode("__tokens").alias("token")).join(filed, "token").where(F.size(F.array_except("need", "__tokens")) == 0)
-    best = fired.groupBy("__tokens").agg(F.max(F.struct(F.col("confidence").alias("c"), F.array_join("need", " & ").alias("r"))).alias("best"))
-    out = wide.join(best, "__tokens", "left").withColumn("mined_rule", F.when(F.col("rule").isNull(), F.col("best.r")))
-    return out.select(*(F.col(quoted(c)) for c in carried), "host", "path", "rule", F.coalesce("__verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule")
+    items = lists.select("__tokens", F.explode("__tokens").alias("token")).join(stands, "token").groupBy("__tokens").agg(F.collect_set("item").alias("has"))
+    fired = items.select("__tokens", "has", F.explode("has").alias("item")).join(filed, "item").where(F.size(F.array_except("need", "has")) == 0)
+    best = fired.groupBy("__tokens").agg(F.max(F.struct(F.col("confidence").alias("c"), F.array_join("need", " & ").alias("r")))["r"].alias("__mined"))
+    # Written first: the join with all urls is then between plain exchanges, and may split a token list that very many urls have.
+    best = materialize(best, "op7-best")
+    out = wide.join(best, "__tokens", "left").withColumn("mined_rule", F.when(F.col("rule").isNull(), F.col("__mined")))
+    return out.select(*back, "host", "path", "rule", F.coalesce("__verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule")

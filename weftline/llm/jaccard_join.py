@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from weftline.llm import blocks as B
 from weftline.llm.graph import connected_components
-from weftline.llm.shared import materialize, others, partitions, pieces, text_bytes
+from weftline.llm.shared import lean, materialize, others, partitions, pieces, text_bytes
 from weftline.llm.wordhash import LOWERED, U, Words, mix, raw
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -101,15 +101,16 @@ class Sets:
         self.ids = B.ids(self.table)
         words = Words(raw(self.table.column("__text")), LOWERED)
         at, h = words.windows(width)
-        owners, hashes = [np.searchsorted(words.first, at, side="right") - 1], [h]
+        begins = np.concatenate(([0], np.cumsum(np.maximum(words.count - width + 1, 0))))
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            h[a:b].sort()
+        owners, hashes = [np.repeat(np.arange(len(words.count)), np.diff(begins))], [h]
         for k in range(1, width):
-            at, h = words.windows(k)
-            own = np.searchsorted(words.first, at, side="right") - 1
-            whole = words.count[own] == k
-            owners.append(own[whole])
-            hashes.append(mix(h[whole] + U(k)))
+            short = np.flatnonzero(words.count == k)
+            owners.append(short)
+            hashes.append(mix(words.runs(words.first[short], k) + U(k)))
         own, h = np.concatenate(owners), np.concatenate(hashes)
-        order = np.lexsort((h, own))
+        order = np.argsort(own, kind="stable")  # runs that are sorted already; those by hash inside each document stay
         own, h = own[order], h[order]
         new = np.concatenate(([True], (own[1:] != own[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, dtype=bool)
         self.doc, self.hash = own[new], h[new]
@@ -238,8 +239,8 @@ def document_sets(parted: DataFrame, size: B.Plan, width: int) -> DataFrame:
             }
         )
 
-    counted = parted.groupBy("__block").applyInArrow(send, B.PACKED_SCHEMA).groupBy("bucket").applyInArrow(B.shared_classes, B.CLASSES_SCHEMA)
-    return parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(keep, schema)
+    counted = parted.groupBy("__block").applyInArrow(lean(send), B.PACKED_SCHEMA).groupBy("bucket").applyInArrow(lean(B.shared_classes), B.CLASSES_SCHEMA)
+    return parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(lean(keep), schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,7 +334,7 @@ def across(members: DataFrame, label: DataFrame, facts: DataFrame, most: int) ->
         rest = [None] * back
         return pa.table({"a": pa.array([a for a, _ in found] + rest, pa.int64()), "b": pa.array([b for _, b in found] + rest, pa.int64())})
 
-    return met.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+    return met.groupBy("task").applyInArrow(lean(run), "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, best: int = BEST) -> DataFrame:

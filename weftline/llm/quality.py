@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import materialize, others, quoted, slices, small_batches
+from weftline.llm.shared import lean, materialize, others, quoted, slices, small_batches
 from weftline.llm.wordhash import AS_IS, Words, raw
 
 MAX_FIT, FEATURES, PARTS, FOLDS, BINS, THRESHOLD = 60_000, 256, 16, 5, 2048, 0.3
@@ -134,7 +134,7 @@ def _stat_frame(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), flat], names=[*keep, "stats"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT, features: int = FEATURES, parts: int = PARTS, ridge: float = 1e-3, seed: int = 20240601) -> Model:
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_pydict({"sums": pa.array([held.astype("<f8").tobytes()], pa.binary())})
 
     folded = chosen.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int")).coalesce(parts)
-    total = sum(np.frombuffer(r["sums"], "<f8").reshape(FOLDS, width, width + 1) for r in folded.mapInArrow(sums, "sums binary").collect())
+    total = sum(np.frombuffer(r["sums"], "<f8").reshape(FOLDS, width, width + 1) for r in folded.mapInArrow(lean(sums), "sums binary").collect())
 
     def solve(s: np.ndarray) -> np.ndarray:
         n = max(1.0, s[width - 1, width - 1])
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             ones += np.bincount(at, weights=y, minlength=BINS).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"bin": np.arange(BINS), "n": n, "ones": ones})
 
-    met = folded.mapInArrow(histogram, "bin long, n long, ones long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).where("n > 0").orderBy("bin").collect()
+    met = folded.mapInArrow(lean(histogram), "bin long, n long, ones long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).where("n > 0").orderBy("bin").collect()
     n, ones = np.array([r["n"] for r in met], dtype=float), np.array([r["ones"] for r in met], dtype=float)
     at = np.array([r["bin"] for r in met])
     return Model(**blank | {"solved": full, "edges": edges[at], "levels": isotonic(ones / n, n)})
@@ -216,4 +216,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
             s = shared.value.score(statistics(raw(batch.column(text_col))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, text_col)), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.select(*(F.col(quoted(c)) for c in (*carried, text_col))).mapInArrow(run, schema)
+    return docs.select(*(F.col(quoted(c)) for c in (*carried, text_col))).mapInArrow(lean(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import blocks as B
-from weftline.llm.shared import others, text_bytes
+from weftline.llm.shared import lean, others, text_bytes
 from weftline.llm.wordhash import AS_IS, Words, raw
 
 WIDTH = 20
@@ -138,10 +138,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return _removed(w.table, made)
 
     # All three readers of the documents share one exchange by block.
-    counted = parted.groupBy("__block").applyInArrow(send, B.PACKED_SCHEMA).groupBy("bucket").applyInArrow(B.shared_values, B.SHARED_SCHEMA)
-    claims = parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(claim, _ENTRY)
-    later = claims.groupBy("bucket").applyInArrow(settle, "__block int, places binary")
-    out = parted.groupBy("__block").cogroup(later.groupBy("__block")).applyInArrow(remove, schema)
+    counted = parted.groupBy("__block").applyInArrow(lean(send), B.PACKED_SCHEMA).groupBy("bucket").applyInArrow(lean(B.shared_values), B.SHARED_SCHEMA)
+    claims = parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(lean(claim), _ENTRY)
+    later = claims.groupBy("bucket").applyInArrow(lean(settle), "__block int, places binary")
+    out = parted.groupBy("__block").cogroup(later.groupBy("__block")).applyInArrow(lean(remove), schema)
     return out.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), *(F.col("__row")[c].alias(c) for c in carried), F.col("__text").alias(text_col), *(F.col(c) for c in RESULTS))
 
 

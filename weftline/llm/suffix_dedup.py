@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import blocks as B
-from weftline.llm.shared import others, text_bytes
+from weftline.llm.shared import lean, others, text_bytes
 from weftline.llm.wordhash import U, byte_values, mix, prefix_sums, raw
 
 WIDTH, GRAM = 100, 32
@@ -389,11 +389,11 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pa.table({**{c: x.table.column(c) for c in ("__row", "__id", "__text")}, **{n: new.column(n) for n in _ARROW.names}})
 
     # All readers of the documents share one exchange by block, the readers of the counts one by bucket.
-    counted = parted.groupBy("__block").applyInArrow(send, B.PACKED_SCHEMA + ", times binary").groupBy("bucket").applyInArrow(lambda t: _anchor_counts(t, together), B.SHARED_SCHEMA + ", hot binary")
-    claims = parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(claim, "bucket int, __block int, " + ", ".join(f"{c} binary" for c in _PACKED))
-    later = claims.groupBy("bucket").applyInArrow(settle, _ANSWER)
+    counted = parted.groupBy("__block").applyInArrow(lean(send), B.PACKED_SCHEMA + ", times binary").groupBy("bucket").applyInArrow(lean(lambda t: _anchor_counts(t, together)), B.SHARED_SCHEMA + ", hot binary")
+    claims = parted.groupBy("__block").cogroup(counted.groupBy("__block")).applyInArrow(lean(claim), "bucket int, __block int, " + ", ".join(f"{c} binary" for c in _PACKED))
+    later = claims.groupBy("bucket").applyInArrow(lean(settle), _ANSWER)
     hot = counted.where("hot is not null").select("__block", *(F.lit(None).cast(k).alias(c) for c, k in (("later", "binary"), ("entry", "int"), ("mask", "binary"))), "bucket", "hot")
-    out = parted.groupBy("__block").cogroup(later.union(hot).groupBy("__block")).applyInArrow(remove, schema)
+    out = parted.groupBy("__block").cogroup(later.union(hot).groupBy("__block")).applyInArrow(lean(remove), schema)
     return out.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), *(F.col("__row")[c].alias(c) for c in carried), F.col("__text").alias(text_col), *(F.col(c) for c in RESULTS))
 
 

@@ -106,6 +106,10 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def runs(self, starts: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
+        """Hashes of the runs of `width` words from the given starts on, as windows has them."""
+        return mix(sum((self.hash[starts + k] * U(pow(base, k, 1 << 64)) for k in range(width)), np.zeros(len(starts), dtype=U)))
+
     def windows(self, width: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of every run of `width` words inside one text; start counts words of the batch.
 

@@ -1,9 +1,11 @@
 import base64
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import token_output as O
@@ -53,3 +55,44 @@ def test_round_trip_through_the_shards(spark, tmp_path, name):
 def test_empty_table(spark, tmp_path):
     index, manifest = O.write_shards(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path(), f"file://{tmp_path}/none", end_id=1, pad_id=0)
     assert index.count() == 0 and manifest["sequences"] == 0 and list(O.read_sequences(f"file://{tmp_path}/none")) == []
+
+
+def test_order_hangs_on_the_documents_alone(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(80)
+    path, size = tokenizer_path("byte_bpe_50k.tiktoken"), {"end_id": 50256, "pad_id": 50257, "length": 64, "shard_bytes": 64 * 2 * 50}
+    made = []
+    for k, frame in enumerate((df.repartition(5), df.orderBy("text").coalesce(1))):
+        index, _ = O.write_shards(frame, path, f"file://{tmp_path}/{k}", **size)
+        made.append(({(r["doc_id"], r["seq"], r["slot"], r["crc32"]) for r in index.collect()}, [x.tolist() for x in O.read_sequences(f"file://{tmp_path}/{k}")]))
+    assert made[0] == made[1]
+    # The same folder from another partitioning: every file is as it should be and stays.
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "0").glob("*.bin")}
+    O.write_shards(df.repartition(2), path, f"file://{tmp_path}/0", **size)
+    assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "0").glob("*.bin")}
+    # A file of the right size with other bytes is written anew.
+    name = tmp_path / "0" / O.shard_name(0)
+    name.write_bytes(bytes(name.stat().st_size))
+    O.write_shards(df, path, f"file://{tmp_path}/0", **size)
+    assert [x.tolist() for x in O.read_sequences(f"file://{tmp_path}/0")] == made[0][1]
+
+
+def test_a_folder_with_another_plan_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(k, "some words " * k) for k in range(30)], "doc_id long, text string")
+    path, folder = tokenizer_path("byte_bpe_50k.tiktoken"), f"file://{tmp_path}/x"
+    size = {"end_id": 50256, "pad_id": 50257, "length": 16, "shard_bytes": 16 * 2 * 10}
+    O.write_shards(df, path, folder, key=1, **size)
+    first = [x.tolist() for x in O.read_sequences(folder)]
+    for frame, file, key in ((df, path, 2), (df, tokenizer_path(), 1), (df.where("doc_id > 0"), path, 1), (df.withColumn("text", F.upper("text")), path, 1)):
+        with pytest.raises(ValueError, match="another"):
+            O.write_shards(frame, file, folder, key=key, **size)
+    assert [x.tolist() for x in O.read_sequences(folder)] == first
+    index, _ = O.write_shards(df, path, folder, key=2, resume=False, **size)
+    read = [x.tolist() for x in O.read_sequences(folder)]
+    assert read != first and sorted(read) == sorted(first)
+    assert all(zlib.crc32(np.array(read[r["slot"]], "<u2").tobytes()) == r["crc32"] for r in index.collect())
+
+
+def test_large_ids_take_four_bytes(spark, tmp_path):
+    index, manifest = O.write_shards(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), tokenizer_path("byte_bpe_50k.tiktoken"), f"file://{tmp_path}/w", end_id=70_000, pad_id=70_001, length=8)
+    assert manifest["kind"] == "<u4" and [x.tolist()[-1] for x in O.read_sequences(f"file://{tmp_path}/w")] == [70_001]
+    assert 70_000 in next(O.read_sequences(f"file://{tmp_path}/w")).tolist() and index.count() == 1

@@ -1,10 +1,12 @@
 """Token-ID output in training order: a keyed Feistel permutation gives every sequence its slot.
 
-1. Documents are encoded once, by the file of a public tokenizer (`.tiktoken` ranks, which give back
-   every byte, or a `.json` file by way of bpe), and kept as little-endian 16- or 32-bit ids, each with the
-   end-of-document id after it, in a table in the shared folder. A document is cut into sequences
-   of `length` ids; its last one is filled up with the pad id. The table numbers the sequences of
-   each of its partitions; the partitions' sums (one row a partition) make the numbers global.
+1. Documents are dealt in blocks by a hash of id and text, ordered by id and text inside a block, and
+   encoded once, by the file of a public tokenizer (`.tiktoken` ranks, which give back every byte, or
+   a `.json` file by way of bpe); they are kept as little-endian 16- or 32-bit ids (by the vocabulary's
+   size), each with the end-of-document id after it, in a table in the shared folder. A document is
+   cut into sequences of `length` ids; its last one is filled up with the pad id. Blocks number their
+   sequences, and the blocks' sums (one row a block) make the numbers global. So the numbers hang on
+   the documents alone, not on files, partitions or the cluster.
 2. A Feistel network over the next even power of two permutes numbers 0 to N - 1: results of N or
    more walk on through the network until they fall below N. Equal key and N give equal order.
 3. Slots are dealt by range: shard s holds slots s * per_shard and on. A task sorts one shard and
@@ -13,8 +15,10 @@
    its own shuffle, whose files are dropped before the next.
 
 The record of slot k begins at byte (k mod per_shard) * stride of file k div per_shard, so a reader
-can start at any slot and read on in order. Files that are there with their full size are kept when
-a run with the same path resumes; the manifest is written last.
+can start at any slot and read on in order. What a folder is to hold (key, tokenizer, documents,
+layout) is written to plan.json before any shard. A run that resumes in a folder with another plan is
+refused; files that are there with the very bytes are kept; the manifest is written last. With
+resume=False the folder is emptied first.
 
 Defined cases: a null or empty text is one sequence that holds the end-of-document id alone;
 null doc_ids are kept as null; repeated documents have sequences of their own; an empty table
@@ -23,6 +27,7 @@ writes no shard and a manifest with 0 sequences; other columns do not matter.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import zlib
@@ -35,8 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm import blocks as B
 from weftline.llm.bpe import codec
-from weftline.llm.shared import materialize, new_path, pieces, quoted, slices, small_batches
+from weftline.llm.shared import lean, materialize, new_path, pieces, quoted, slices, small_batches
 from weftline.llm.wordhash import mix, raw
 
 LENGTH, SHARD_BYTES, WAVES, ROUNDS = 256, 32 << 20, 2, 6
@@ -60,9 +66,11 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
 
 
 def open_folder(uri: str):
-    """The file system of a folder and the folder's path in it."""
+    """The file system of a folder and the folder's path in it; s3a and s3n are other names of s3."""
     from pyarrow import fs
 
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3://" + uri[6:]
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///") if uri.startswith("file:/") else f"file://{uri}")
 
 
@@ -87,44 +95,79 @@ def encoder(path: str):
     return lambda texts: [np.frombuffer(i, "<u4") for i in many(texts)]
 
 
-def encode_store(docs: DataFrame, path: str, end_id: int, *, id_col: str, text_col: str, length: int, kind: str) -> DataFrame:
-    """One row a document: id, ids as bytes, and the number of its first sequence among its partition's."""
+def vocabulary(path: str) -> tuple[int, str]:
+    """(the largest id, a digest) of a tokenizer's file."""
+    with open(path, "rb") as f:
+        data = f.read()
+    if path.endswith(".tiktoken"):
+        largest = max((int(line.split()[1]) for line in data.splitlines() if line.strip()), default=0)
+    else:
+        declared = json.loads(data)
+        largest = max([*declared["model"]["vocab"].values(), *(t["id"] for t in declared.get("added_tokens", []))], default=0)
+    return largest, hashlib.sha256(data).hexdigest()
+
+
+def encode_store(docs: DataFrame, path: str, end_id: int, blocks: int, *, id_col: str, text_col: str, length: int, kind: str) -> DataFrame:
+    """One row a document: id, ids as bytes, and the number of its first sequence among its block's."""
 
-    def run(batches):
-        encode, part, number = encoder(path), TaskContext.get().partitionId(), 0
+    def run(t: pa.Table) -> pa.Table:
+        encode, size = encoder(path), np.dtype(kind).itemsize
         end = np.array([end_id], dtype=kind).tobytes()
-        for batch in batches:
-            texts = raw(batch.column("text"))
-            for a, b in slices(texts):
-                ids = [i.astype(kind).tobytes() + end for i in encode(texts[a:b])]
-                n = np.array([-(-len(i) // np.dtype(kind).itemsize // length) for i in ids], dtype=np.int64)
-                first = number + np.cumsum(n) - n
-                number += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([part] * len(ids), pa.int32()), pa.array(first), pa.array(n), pa.array(ids, pa.binary())], names=["id", "part", "first", "n", "ids"])
+        texts, known = raw(t.column("text")), t.column("id").fill_null(int(B.NULL_ID)).to_pylist()
+        order = sorted(range(len(texts)), key=lambda k: (known[k], texts[k]))
+        texts = [texts[k] for k in order]
+        ids = [i.astype(kind).tobytes() + end for a, b in slices(texts) for i in encode(texts[a:b])]
+        n = np.array([-(-len(i) // size // length) for i in ids], dtype=np.int64)
+        return pa.table({"id": t.column("id").take(pa.array(order)), "block": t.column("block"), "first": pa.array(np.cumsum(n) - n), "n": pa.array(n), "ids": pa.array(ids, pa.binary())})
 
     read = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    return materialize(read.mapInArrow(run, "id long, part int, first long, n long, ids binary"), "tokens")
+    dealt = read.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
+    return materialize(dealt.groupBy("block").applyInArrow(lean(run), "id long, block int, first long, n long, ids binary"), "tokens")
 
 
-def write_shards(docs: DataFrame, path: str, folder: str | None = None, *, end_id: int, pad_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, key: int = 20240601, shard_bytes: int = SHARD_BYTES, waves: int = WAVES, wide: bool = False, resume: bool = True) -> tuple[DataFrame, dict]:
+def _agree(filesystem, root: str, plan: dict, resume: bool) -> None:
+    """Writes the plan into a folder that has none; a folder with another plan, or with shards but no plan, is refused (or emptied)."""
+    from pyarrow import fs
+
+    name = f"{root}/plan.json"
+    if not resume:
+        filesystem.delete_dir_contents(root)
+    if filesystem.get_file_info(name).type == fs.FileType.File:
+        with filesystem.open_input_stream(name) as f:
+            if json.loads(f.read()) != plan:
+                raise ValueError(f"{root} holds shards of another key, tokenizer, layout or table; take another folder, or resume=False to empty it")
+        return
+    if filesystem.get_file_info(fs.FileSelector(root)):
+        raise ValueError(f"{root} holds files but no plan; take another folder, or resume=False to empty it")
+    with filesystem.open_output_stream(name) as out:
+        out.write(json.dumps(plan).encode())
+
+
+def write_shards(docs: DataFrame, path: str, folder: str | None = None, *, end_id: int, pad_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, key: int = 20240601, shard_bytes: int = SHARD_BYTES, waves: int = WAVES, resume: bool = True) -> tuple[DataFrame, dict]:
     """Writes the shards to `folder` (a new one in the shared folder if None); returns the index of all sequences and the manifest.
 
     The index has a row for each sequence: doc_id, seq, n_tokens, slot, shard, offset and crc32 of its record.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = "<u4" if wide else "<u2"
+    largest, tokenizer = vocabulary(path)
+    kind = "<u2" if max(largest, end_id, pad_id) < 1 << 16 else "<u4"
     stride = length * np.dtype(kind).itemsize
     per_shard = max(1, shard_bytes // stride)
     folder = folder or new_path(spark, "shards")
     filesystem, root = open_folder(folder)
     filesystem.create_dir(root, recursive=True)
-    store = encode_store(docs, path, end_id, id_col=id_col, text_col=text_col, length=length, kind=kind)
-    sums = store.groupBy("part").agg(F.sum("n").alias("n"))
+    rows = F.xxhash64(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string"))
+    told = docs.agg(F.sum(F.octet_length(F.col(quoted(text_col)).cast("string"))).alias("bytes"), F.count("*").alias("n"), F.bit_xor(rows).alias("x"), F.sum(F.pmod(rows, F.lit(1 << 31))).alias("s")).first()
+    blocks = B.plan(told["bytes"] or 0).blocks
+    plan = {"tokenizer": tokenizer, "documents": [told["n"], told["x"], told["s"]], "blocks": blocks, "length": length, "stride": stride, "per_shard": per_shard, "key": key, "kind": kind, "pad_id": pad_id, "end_id": end_id}
+    _agree(filesystem, root, plan, resume)
+    store = encode_store(docs, path, end_id, blocks, id_col=id_col, text_col=text_col, length=length, kind=kind)
+    sums = store.groupBy("block").agg(F.sum("n").alias("n"))
     n = sums.agg(F.sum("n")).first()[0] or 0
-    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
+    before = sums.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a block
     shards = pieces(n, per_shard, least=0)
-    manifest = {"sequences": n, "length": length, "stride": stride, "per_shard": per_shard, "shards": shards, "key": key, "kind": kind, "pad_id": pad_id, "end_id": end_id}
+    manifest = plan | {"sequences": n, "shards": shards}
 
     def sequences(lo: int, hi: int):
         def run(batches):
@@ -153,12 +196,16 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, *, end_i
         records = [x + pad[len(x) :] for x in made]
         target, at = open_folder(folder)
         name = f"{at}/{shard_name(shard)}"
-        there = target.get_file_info(name)
-        if not (resume and there.type == fs.FileType.File and there.size == stride * len(records)):
+        there, whole = target.get_file_info(name), b"".join(records)
+        kept = there.type == fs.FileType.File and there.size == len(whole)
+        if kept:
+            with target.open_input_stream(name) as f:
+                kept = f.read() == whole
+        if not kept:
             context = TaskContext.get()
             temporary = f"{at}/.{shard_name(shard)}.{context.taskAttemptId()}"
             with target.open_output_stream(temporary) as out:
-                out.write(b"".join(records))
+                out.write(whole)
             target.move(temporary, name)
         size = np.dtype(kind).itemsize
         return pa.table(
@@ -174,9 +221,9 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, *, end_i
         )
 
     schema = "doc_id long, seq long, n_tokens long, slot long, shard int, offset long, crc32 long"
-    placed = store.join(F.broadcast(before), "part")
+    placed = store.join(F.broadcast(before), "block")  # blocks grow with the square root of the text: 540,000 rows at 100 TB
     each = pieces(shards, waves)
-    index = [materialize(placed.mapInArrow(sequences(lo, min(shards, lo + each)), "shard int, slot long, id long, seq long, ids binary").groupBy("shard").applyInArrow(write, schema), "slots") for lo in range(0, shards, each)]
+    index = [materialize(placed.mapInArrow(lean(sequences(lo, min(shards, lo + each))), "shard int, slot long, id long, seq long, ids binary").groupBy("shard").applyInArrow(lean(write), schema), "slots") for lo in range(0, shards, each)]
     with filesystem.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
     return (reduce(DataFrame.union, index) if index else spark.createDataFrame([], schema)), manifest | {"folder": folder}

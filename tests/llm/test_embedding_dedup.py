@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from weftline.llm import embedding_dedup as E
@@ -62,3 +63,17 @@ def test_odd_vectors(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     odd = spark.createDataFrame([(None, [1.0, 2.0], 1, "x"), (4, [1.0, 2.0], 2, "y")], "vec_id long, embedding array<float>, n_links int, vec string")
     assert sorted((r["vec"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(odd).collect()) == [("x", 1, None, True), ("y", 1, None, False)]
+
+
+def test_clashing_names(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(40)]
+    rows += [(100 + k, (np.array(v) + 0.01).tolist()) for k, v in rows[:10]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    names = ["id", "comp", "rep", "m", "n", "u", "v", "a", "b", "vec", "t", "bucket", "buckets", "tiles", "task", "__id", "__row", "kept", "n_links", "x.y"]
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    out = E.near_duplicates(df).collect()
+    expected, _ = brute_force(rows)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == expected
+    assert all(r[n] == n for r in out for n in names if n not in E.RESULTS)

@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 
 from weftline.llm.blocks import NULL_ID
 from weftline.llm.graph import connected_components
-from weftline.llm.shared import materialize, others, quoted
+from weftline.llm.shared import lean, materialize, others, partitions, pieces, quoted
 
-THRESHOLD, STEP, RECALL, TILE = 0.95, 1.5, 0.98, 1024
+THRESHOLD, STEP, RECALL, TILE, ROWS_A_TASK = 0.95, 1.5, 0.98, 1024, 20_000
 RESULTS = ("n_links", "component_id", "kept")
 
 
@@ -82,12 +82,14 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed_vectors(batch.column("v"), kind), pa.binary())], names=["id", "vec"])
 
-    units = vectors.select(F.coalesce(F.col(quoted(id_col)).cast("long"), null).alias("id"), F.col(quoted(vector_col)).cast("array<float>" if kind == "<f4" else "array<double>").alias("v")).mapInArrow(normal, "id long, vec binary")
+    units = vectors.select(F.coalesce(F.col(quoted(id_col)).cast("long"), null).alias("id"), F.col(quoted(vector_col)).cast("array<float>" if kind == "<f4" else "array<double>").alias("v")).mapInArrow(lean(normal), "id long, vec binary")
     units = materialize(units, "embed-units")
     linkable = units.where(F.col("vec").isNotNull())
     distinct = materialize(linkable.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "embed-distinct")
     equal = linkable.join(distinct, "vec").select("id", "rep", "m")
-    projections, tables = shape(distinct.count(), threshold, step, recall)
+    n = distinct.count()
+    projections, tables = shape(n, threshold, step, recall)
+    tasks = max(partitions(spark), pieces(n * tables, ROWS_A_TASK))
 
     def signatures(batches):
         """bucket numbers of each vector in all tables; hyperplanes are drawn anew for each length of vectors."""
@@ -106,12 +108,13 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 rows.append((h ^ np.int64(len(x))).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64()))], names=[*batch.schema.names, "buckets"])
 
-    signed = materialize(distinct.mapInArrow(signatures, "vec binary, rep long, m long, buckets array<long>"), "embed-buckets")
+    signed = materialize(distinct.mapInArrow(lean(signatures), "vec binary, rep long, m long, buckets array<long>"), "embed-buckets")
     spread = signed.select("rep", "m", "vec", "buckets", F.posexplode("buckets").alias("t", "bucket")).withColumn("buckets", F.slice("buckets", 1, F.col("t")))
     sizes = signed.select(F.posexplode("buckets").alias("t", "bucket")).groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    sizes = materialize(sizes, "embed-sizes")  # a plain exchange, so that the join may split a bucket with very many vectors
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     met = spread.join(sizes, ["t", "bucket"]).withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other")).withColumn("task", F.pmod(F.xxhash64("t", "bucket", "x", "y"), F.lit(1 << 14)).cast("int"))
+    met = met.withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other")).withColumn("task", F.pmod(F.xxhash64("t", "bucket", "x", "y"), F.lit(tasks)).cast("int"))
 
     def compare(t: pa.Table) -> pa.Table:
         keys = list(zip(*(t.column(c).to_pylist() for c in ("t", "bucket", "x", "y")), strict=True))
@@ -152,12 +155,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                         edges.append((p, q))
         return pa.table({"a": pa.array([*links, *(p for p, _ in edges)], pa.int64()), "b": pa.array([None] * len(links) + [q for _, q in edges], pa.int64()), "n": pa.array([*links.values(), *[0] * len(edges)], pa.int64())})
 
-    found = materialize(met.groupBy("task").applyInArrow(compare, "a long, b long, n long"), "embed-links")
+    found = materialize(met.groupBy("task").applyInArrow(lean(compare), "a long, b long, n long"), "embed-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     label = connected_components(found.where("b is not null").select("a", "b"), "embed")
     placed = equal.join(counts, equal["rep"] == counts["a"], "left").join(label, equal["rep"] == label["u"], "left").select("id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("v", "rep").alias("comp"))
-    whole = vectors.select(F.coalesce(F.col(quoted(id_col)).cast("long"), null).alias("__id"), *(F.col(quoted(c)).alias(c) for c in carried))
+    whole = vectors.select(F.coalesce(F.col(quoted(id_col)).cast("long"), null).alias("__id"), (F.struct(*(F.col(quoted(c)).alias(c) for c in carried)) if carried else F.lit(None)).alias("__row"))
     placed = placed.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("comp").alias("comp"))
     out = whole.join(placed, whole["__id"] == placed["id"], "left").withColumn("comp", F.coalesce("comp", "__id"))
     back = vectors.schema[id_col].dataType
-    return out.select(F.when(F.col("__id") != null, F.col("__id")).cast(back).alias(id_col), *(F.col(quoted(c)) for c in carried), F.coalesce("n_links", F.lit(0)).cast(T.LongType()).alias("n_links"), F.when(F.col("comp") != null, F.col("comp")).alias("component_id"), (F.col("comp") == F.col("__id")).alias("kept"))
+    return out.select(F.when(F.col("__id") != null, F.col("__id")).cast(back).alias(id_col), *(F.col("__row")[c].alias(c) for c in carried), F.coalesce("n_links", F.lit(0)).cast(T.LongType()).alias("n_links"), F.when(F.col("comp") != null, F.col("comp")).alias("component_id"), (F.col("comp") == F.col("__id")).alias("kept"))

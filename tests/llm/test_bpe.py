@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from weftline.llm import bpe
@@ -47,3 +48,17 @@ def test_operator(spark):
     again = bpe.decode(bpe.encode(df, tokenizer_path(), decode=False), tokenizer_path()).collect()
     assert [r["decoded"] for r in again] == [r["decoded"] for r in out] and out[0]["decoded"] == "a</w> b</w>"
     assert bpe.encode(spark.createDataFrame([], "text string"), tokenizer_path()).count() == 0
+
+
+def test_tokenizers_that_mark_blanks_are_refused():
+    with pytest.raises(ValueError, match="declares"):
+        bpe.Codec(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_chunks_met_again_stay_in_memory():
+    rnd = random.Random(4)
+    passage = " ".join(f"w{rnd.randrange(1000)}" for _ in range(2000)).encode()
+    codec = bpe.Codec(tokenizer_path(), chunk_bytes_kept=400_000)
+    for _ in range(30):
+        codec.encode_many([passage + b" " + " ".join(f"x{rnd.randrange(10**6)}" for _ in range(2000)).encode()])
+    assert codec.reused > 0.3 * codec.seen and codec.chunk_bytes <= 200_000

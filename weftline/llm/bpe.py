@@ -2,11 +2,15 @@
 
 A text is cut where a rolling hash of the last 16 bytes has `mask_bits` zero bits, so equal
 passages are cut alike wherever they stand. Each distinct chunk is encoded once per Python worker
-(a memory of bounded size, emptied when full); repeats reuse its pieces. A chunk is kept as its
+as long as its memory holds it (of bounded size, in two generations: chunks met again stay);
+repeats reuse its pieces. A chunk is kept as its
 whole words plus the broken word at either end. At a join the broken ends of two chunks are put
 together and re-encoded with one whole word on either side; if the outer words' ids do not agree
 with the ids that their chunks hold, the window grows by a word on each side, until exact
-agreement or until it spans both chunks.
+agreement; where it spans both chunks without it, the whole text is encoded at once.
+
+Only tokenizers whose file declares steps under which a text's ids are those of its words are
+taken (see PlainWords); others, such as byte-level vocabularies that mark blanks, are refused.
 
 Words are what stands between ASCII white space. Within chunks they too are encoded once and
 remembered; new words of a batch are encoded together.
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import others, quoted, slices, small_batches
+from weftline.llm.shared import lean, others, quoted, slices, small_batches
 from weftline.llm.wordhash import byte_values, prefix_sums, raw
 
 MASK_BITS, SPAN = 10, 16
@@ -114,7 +118,7 @@ class PlainWords:
 
     Only for tokenizers whose file declares the steps that this reproduces: NFC, white space
     to blanks and lower case; then one pattern whose matches are the pieces, each as bytes.
-    All other words, and all words of other tokenizers, go through the tokenizer itself.
+    All other words go through the tokenizer itself.
     """
 
     def __init__(self, tokenizer, declared: dict, kept: int):
@@ -132,8 +136,6 @@ class PlainWords:
 
     def learn(self, words: list[bytes], into: dict[bytes, bytes]) -> list[bytes]:
         """Enters the ids of the simple ones of the words; returns the others."""
-        if self.pattern is None:
-            return words
         rest, memory, numbers, tokenize, find = [], self.memory, self.numbers, self.model.tokenize, self.pattern.findall
         memory.turn(2 * len(words))
         for w in words:
@@ -165,9 +167,12 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             declared = json.load(f)
         self.simple = PlainWords(self.tokenizer, {k: v for k, v in declared.items() if k != "model"}, words_kept // 2)
+        if self.simple.pattern is None:
+            raise ValueError(f"{path}: a text's ids are not those of its words by the steps that this tokenizer declares")
         self.mask_bits, self.words_kept, self.chunk_bytes_kept = mask_bits, words_kept, chunk_bytes_kept
         self.words = Memory(words_kept)
         self.chunks: dict[bytes, Chunk] = {}
+        self.older: dict[bytes, Chunk] = {}
         self.chunk_bytes = 0
         self.plain = self.tokenizer.decoder is None
         self.pieces: list[str | None] = [self.tokenizer.id_to_token(i) for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)] if self.plain else []
@@ -186,8 +191,8 @@ class Codec:
             for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _joined(self, before: Chunk | None, broken: bytes, after: Chunk | None) -> bytes:
-        """Ids of what a cut broke, re-encoded between neighbours whose ids must come out as their chunks hold them."""
+    def _joined(self, before: Chunk | None, broken: bytes, after: Chunk | None) -> bytes | None:
+        """Ids of what a cut broke, re-encoded between neighbours whose ids must come out as their chunks hold them; None where they never do."""
         self.joins += 1
         left, right = before.last if before else [], after.first if after else []
         reach = 1
@@ -199,7 +204,7 @@ class Codec:
                 return window[len(outer_left) : end]
             before_words, after_words = before.words() if before else [], after.words() if after else []
             if reach >= max(len(before_words), len(after_words)):
-                raise ValueError("the tokenizer's ids depend on text beyond the two chunks of a join")
+                return None
             reach *= 2
             self.widened += 1
             left, right = [(w, self._ids(w)) for w in before_words[-reach:]], [(w, self._ids(w)) for w in after_words[:reach]]
@@ -214,6 +219,9 @@ class Codec:
                 data = text[a:b]
                 self.seen += 1
                 c = self.chunks.get(data) or met.get(data)
+                if c is None and data in self.older:
+                    c = self.older[data]
+                    self.keep(c)
                 if c is None:
                     met[data] = c = Chunk(data)
                     inner = c.words()
@@ -229,8 +237,8 @@ class Codec:
         for c, inner in new:
             c.learned(inner, self.words)
         out = []
-        for chunks in split:
-            made: list[bytes] = []
+        for text, chunks in zip(texts, split, strict=True):
+            made: list[bytes | None] = []
             broken, before, joined = b"", None, False
             for k, c in enumerate(chunks):
                 broken += c.head
@@ -241,15 +249,19 @@ class Codec:
                 broken, before, joined = c.tail, c, False
             if broken:
                 made.append(self._joined(before, broken, None) if joined else self.words[broken])
-            out.append(b"".join(made))
+            out.append(self._ids(text) if None in made else b"".join(made))
         for c, _ in new:
-            self.chunk_bytes += len(c.data) + len(c.ids) + 500
-            if self.chunk_bytes > self.chunk_bytes_kept:
-                self.chunks.clear()
-                self.chunk_bytes = len(c.data) + len(c.ids) + 500
-            self.chunks[c.data] = c
+            self.keep(c)
         return out
 
+    def keep(self, c: Chunk) -> None:
+        """Into the younger generation; when that is full it becomes the older one, and what the older one had goes."""
+        size = len(c.data) + len(c.ids) + 500
+        if self.chunk_bytes + size > self.chunk_bytes_kept // 2:
+            self.older, self.chunks, self.chunk_bytes = self.chunks, {}, 0
+        self.chunk_bytes += size
+        self.chunks[c.data] = c
+
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, dtype="<u4").tolist()
         if self.plain:
@@ -303,7 +315,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", decode: bool =
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in carried), *new], names=schema.names)
 
-    return docs.select(*(F.col(quoted(x)) for x in read)).mapInArrow(run, schema)
+    return docs.select(*(F.col(quoted(x)) for x in read)).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids") -> DataFrame:
@@ -317,4 +329,4 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids") -> DataFrame:
             texts = [c.decode(np.array(i or [], dtype="<u4").tobytes()) for i in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*(F.col(quoted(x)) for x in carried)).mapInArrow(run, schema)
+    return encoded.select(*(F.col(quoted(x)) for x in carried)).mapInArrow(lean(run), schema)

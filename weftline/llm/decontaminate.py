@@ -8,7 +8,7 @@ with a match get the match ends mapped back to words and to characters of the or
 
 The automaton is built in each Python worker from a broadcast list of patterns. The list is
 counted before it is collected: past `max_patterns` the items are divided by a hash of their text
-over several automata, which scan one after the other in the same stage.
+over several passes, each with its own automaton and written before the next, so that a worker holds one.
 
 Defined cases: null and empty texts have no words and no hits; null or wordless items have no
 pattern; items with equal text are all reported; a null item_id counts as an item but is left out
@@ -18,17 +18,19 @@ for itself; other columns of the input pass through, those named like a result a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import others, pieces, quoted, small_batches
+from weftline.llm.shared import lean, materialize, others, pieces, quoted, small_batches
 from weftline.llm.wordhash import translation
 
 WIDTH = 10
-MAX_PATTERNS = 1_000_000
+MAX_PATTERNS = 100_000
 #: Everything in ASCII but digits and letters separates words, see the class `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`.
 TABLE = translation(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
 
@@ -109,23 +111,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     for g in range(groups):
         rows = [(r["id"], r["text"]) for r in named.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect()]
         out = _scan(out, docs.sparkSession.sparkContext.broadcast(rows), carried, text_col, width, first=g == 0)
+        if g < groups - 1:
+            out = materialize(out, "decontaminate")
     return out
 
 
+_SCANNERS: dict[str, Scanner] = {}
+
+
+def scanner(name: str, shared, width: int) -> Scanner:
+    """The worker's automaton of this name: built once for all its tasks, and alone."""
+    if name not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[name] = Scanner([(k, t) for k, (_, t) in enumerate(shared.value)], width)
+    return _SCANNERS[name]
+
+
 def _scan(df: DataFrame, shared, carried: list[str], text_col: str, width: int, first: bool) -> DataFrame:
-    schema = T.StructType([*(df.schema[c] for c in (*carried, text_col)), *RESULT])
+    schema, name = T.StructType([*(df.schema[c] for c in (*carried, text_col)), *RESULT]), uuid.uuid4().hex
     arrow = pa.schema([pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()), pa.field("item_ids", pa.list_(pa.string())), pa.field("n_items", pa.int64()), pa.field("hits", pa.list_(pa.struct([pa.field("begin", pa.int64()), pa.field("end", pa.int64())])))])
 
     def run(batches):
         ids = [i for i, _ in shared.value]
-        scanner = Scanner([(k, t) for k, (_, t) in enumerate(shared.value)], width)
+        scan = scanner(name, shared, width).scan
         for batch in batches:
             earlier = None if first else batch.select(RESULT.names).to_pylist()
             made = []
             texts = batch.column(text_col).cast(pa.binary())
             for k in range(batch.num_rows):
                 text = texts[k].as_py() or b""
-                n, runs, met = scanner.scan(text)
+                n, runs, met = scan(text)
                 hits = original_spans(text, runs)
                 n_hit, named, n_items = sum(b - a + 1 for a, b in runs), {ids[i] for i in met if ids[i] is not None}, len(met)
                 if earlier and earlier[k]["hits"]:
@@ -137,7 +152,7 @@ def _scan(df: DataFrame, shared, carried: list[str], text_col: str, width: int,
             keep = [batch.column(c) for c in (*carried, text_col)]
             yield pa.RecordBatch.from_arrays([*keep, *new.columns], names=[*carried, text_col, *RESULT.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _merged(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[dict[str, int]], int]:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +42,17 @@ def test_sentences_have_true_spans(spark):
 def test_words_are_found_between_letters(spark):
     given = "cat concat cat, cats cat"
     assert one(spark, lambda x: text.find_word(x, "cat"), given) == [0, 11, 21]
-    assert L.find_all(given, "cat") == [(0, 3), (11, 14), (21, 24)] and L.find_all("aa a", "a") == [(3, 4)] and L.find_all(None, "a") == []
+    for given, word, found in (("aa a", "a", [3]), ("thethe the", "the", [7]), ("the", "the", [0]), ("x.y xzy x.y", "x.y", [0, 8]), ("ana anana ana-ana", "ana", [0, 10, 14]), ("a\\Eb b", "a\\Eb", [0]), ("\u00e9cat cat\u00e9 cat", "cat", [10]), ("", "a", [])):
+        assert one(spark, lambda x, w=word: text.find_word(x, w), given) == found
+    assert one(spark, lambda x: text.find_word(x, "a"), None) is None
+
+
+def test_many_sentences_take_no_square_of_time(spark):
+    whole = " ".join(f"This is sentence {k}." for k in range(16_000))
+    begun = time.monotonic()
+    found = one(spark, text.sentences, whole)
+    assert [whole[x["begin"] : x["end"]] for x in (found[0], found[7777], found[-1])] == ["This is sentence 0.", "This is sentence 7777.", "This is sentence 15999."]
+    assert len(found) == 16_000 and time.monotonic() - begun < 10
 
 
 def test_tokens(spark):

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.arrays import let, starts_of
+
 SEPARATOR, LEMMA_END = "  ", "@@"
 _ELEMENT = r"(?s)^(?:(.*?)@@)?(.*)@([0-9]+):([0-9]+)$"
 
@@ -68,10 +70,11 @@ def document_text(document: Column) -> Column:
 
 def document_links(document: Column) -> Column:
     """array<struct<begin, end, resource>>: the links of all lines, with spans in document_text; badly formed elements are left out."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,resource:string>>").alias("found"))
 
-    def step(acc: Column, c: Column) -> Column:
-        moved = F.transform(decode_links(c[1]), lambda x: F.struct((x["begin"] + acc["at"]).alias("begin"), (x["end"] + acc["at"]).alias("end"), x["target"].alias("resource")))
-        return F.struct((acc["at"] + F.length(c[0]) + 1).alias("at"), F.concat(acc["found"], moved).alias("found"))
+    def moved(line: Column, at: Column) -> Column:
+        return F.transform(decode_links(line[1]), lambda x: F.struct((x["begin"] + at).alias("begin"), (x["end"] + at).alias("end"), x["target"].alias("resource")))
+
+    def all_of(rows: Column) -> Column:
+        return let(starts_of(F.transform(rows, lambda c: F.length(c[0]) + 1)), lambda at: F.flatten(F.transform(rows, lambda c, k: moved(c, F.get(at, k)))))
 
-    return F.aggregate(_lines(document), start, step, lambda acc: acc["found"])
+    return let(_lines(document), all_of)

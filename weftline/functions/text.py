@@ -14,12 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.arrays import let, starts_of
 from weftline.schema import TOKEN
 
 #: A boundary is white space after an end mark, unless an abbreviation or initial stands before it, with a likely beginning behind it.
 BOUNDARY = r"(?<=[.!?][\"'”’)\]]{0,2})(?<!\b(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|No|Inc|Ltd|Co|cf|approx|[A-Z])\.)(\s+)(?=[\"'“‘(\[]{0,2}[\p{Lu}\p{N}])"
 PLAIN_BOUNDARY = r"(?<=[.!?])(\s+)"
 _MARK = "\x01"
+#: What \s stands for in the JVM, but for the blank.
+_SPACES = "\t\n\x0b\f\r"
 
 
 def one_line(text: Column) -> Column:
@@ -30,17 +33,19 @@ def one_line(text: Column) -> Column:
 def sentences(text: Column, boundary: str = BOUNDARY) -> Column:
     """array<struct<begin, end, text>>: sentences without the white space between them; spans count characters."""
     pieces = F.split(F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), boundary, "$1" + _MARK), _MARK)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,text:string>>").alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        lead = F.length(piece) - F.length(F.ltrim(F.regexp_replace(piece, r"\s", " ")))
-        body = F.trim(F.regexp_replace(piece, r"\s", " "))
-        begin = acc["at"] + lead
-        item = F.struct(begin.cast("int").alias("begin"), (begin + F.length(body)).cast("int").alias("end"), F.substr(piece, lead + 1, F.length(body)).alias("text"))
-        found = F.when(F.length(body) > 0, F.concat(acc["found"], F.array(item))).otherwise(acc["found"])
-        return F.struct((acc["at"] + F.length(piece)).cast("int").alias("at"), found.alias("found"))
+    def item(piece: Column, at: Column) -> Column:
+        def placed(plain: Column) -> Column:
+            lead, body = F.length(piece) - F.length(F.ltrim(plain)), F.length(F.trim(plain))
+            begin = at + lead
+            return F.struct(begin.cast("int").alias("begin"), (begin + body).cast("int").alias("end"), F.substr(piece, lead + 1, body).alias("text"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+        return let(F.translate(piece, _SPACES, " " * len(_SPACES)), placed)
+
+    def whole(parts: Column) -> Column:
+        return let(starts_of(F.transform(parts, F.length)), lambda at: F.filter(F.transform(parts, lambda piece, k: item(piece, F.get(at, k))), lambda s: s["begin"] < s["end"]))
+
+    return let(pieces, whole)
 
 
 _TOKEN = re.compile(r"\w+(?:[-'’]\w+)*|[^\w\s]")
@@ -111,14 +116,27 @@ def tokens(sentence: Column, tokenizer: Callable[[str | None], list[dict]] = tok
     return run(sentence)
 
 
-def find_word(text: Column, word: str) -> Column:
-    """Begins (from 0) of all occurrences of a word that no letter touches; by the JVM's regular expressions."""
-    pattern = rf"(?<!\p{{L}}){re.escape(word)}(?!\p{{L}})"
-    pieces = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+def find_word(text: Column, word: str | Column) -> Column:
+    """Begins (from 0) of all occurrences of a word that no letter touches.
+
+    The text is searched from the left; the search goes on behind each occurrence, one that a letter
+    touches included, so occurrences never overlap.
+    """
+    w = F.lit(word) if isinstance(word, str) else word
+    pattern = F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    letter = lambda c: c.rlike(r"^\p{L}")
+
+    def found(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def hit(piece: Column, k: Column, at: Column) -> Column:
+            behind = F.get(parts, k + 1)
+            before = F.when((F.length(piece) == 0) & (k > 0), w).otherwise(piece)
+            after = F.when((F.length(behind) == 0) & (k + 1 < last), w).otherwise(behind)
+            free = ~letter(F.right(before, F.lit(1))) & ~letter(F.left(after, F.lit(1)))
+            return F.when((k < last) & free, (F.get(at, k) + F.length(piece)).cast("int"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + F.length(piece)
-        return F.struct((at + len(word)).cast("int").alias("at"), F.concat(acc["found"], F.array(at.cast("int"))).alias("found"))
+        lengths = F.transform(parts, lambda x: F.length(x) + F.length(w))
+        return let(starts_of(lengths), lambda at: F.filter(F.transform(parts, lambda x, k: hit(x, k, at)), lambda b: b.isNotNull()))
 
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), begin, step, lambda acc: acc["found"])
+    return let(F.split(text, pattern, -1), found)

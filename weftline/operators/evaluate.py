@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.names import strip_fragment
+
 
 def confusion(instances: DataFrame, by: list[str]) -> DataFrame:
     """(by..., gold, cnt)"""
@@ -83,3 +85,28 @@ def head_word(tokens_column: str, begin, end):
 def context_lemmas(tokens_column: str, target):
     """Distinct lemmas of a sentence but the target's."""
     return F.array_remove(F.array_distinct(F.transform(tokens_column, lambda t: t["lemma"])), target)
+
+
+def link_instances(sentences: DataFrame, senses: DataFrame, words: DataFrame) -> DataFrame:
+    """(iid, fold, word, gold, context): links of sentences (fold, sid, tokens, links) to be judged.
+
+    A link counts if its resource, without a fragment, is one of the senses (resource), and if its
+    span is exactly one token whose lemma is one of the words (word). context has the distinct
+    lemmas of the sentence but the word itself.
+    """
+    link = sentences.select("fold", "sid", "tokens", F.posexplode("links").alias("pos", "l")).withColumn("gold", strip_fragment(F.col("l.target")))
+    link = link.join(senses.select(F.col("resource").alias("gold")).distinct(), "gold", "left_semi")
+    named = link.withColumn("word", head_word("tokens", F.col("l.begin"), F.col("l.end")))
+    named = named.join(words.select("word").distinct(), "word", "left_semi")
+    return named.select(F.concat_ws("#", "sid", "pos").alias("iid"), "fold", "word", "gold", context_lemmas("tokens", F.col("word")).alias("context"))
+
+
+def clustered_instances(instances: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(iid, fold, word, cluster_id, gold): link_instances with the cluster of their word that suits the context best, null where none does."""
+    chosen = choose_cluster(instances.select("iid", "word", F.explode("context").alias("feature")), clusters)
+    return instances.join(chosen.select("iid", "cluster_id"), "iid", "left").select("iid", "fold", "word", "cluster_id", "gold")
+
+
+def evaluate(sentences: DataFrame, senses: DataFrame, words: DataFrame, clusters: DataFrame) -> DataFrame:
+    """predictions for the links of sentences: each fold is tested with what all others teach."""
+    return predictions(clustered_instances(link_instances(sentences, senses, words), clusters))

@@ -49,10 +49,12 @@ def samples_of(samples: DataFrame, words: DataFrame) -> DataFrame:
 def word_list_slice(words: DataFrame, offset: int, limit: int) -> DataFrame:
     """The first `limit` words with a lower-case initial and no blank beyond the first `offset` rows, in order of (cnt desc, word).
 
-    The offset counts all rows, the limit only those that pass.
+    The offset counts all words (word, cnt; each once), the limit only those that pass. Both ends are
+    bounded top-k's; no total order of all words is made.
     """
     order = [F.desc("cnt"), F.asc("word")]
-    return words.orderBy(*order).offset(offset).where(starts_lower(F.col("word"))).orderBy(*order).limit(limit)
+    rest = words.join(words.orderBy(*order).limit(offset).select("word"), "word", "left_anti") if offset else words
+    return rest.where(starts_lower(F.col("word"))).orderBy(*order).limit(limit).select(*words.columns)
 
 
 def first_per_key(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
@@ -63,7 +65,3 @@ def first_per_key(rows: DataFrame, key: str, order: list[str], most: int) -> Dat
 def within_lengths(sentences: DataFrame, most: int, column: str = "text") -> DataFrame:
     return sentences.where(F.length(column) <= most)
 
-
-def few_links(links: DataFrame, less_than: int, column: str = "links") -> DataFrame:
-    """Sentences with fewer links than that; others keep none, and sentences without links go."""
-    return links.where((F.size(column) > 0) & (F.size(column) < less_than))

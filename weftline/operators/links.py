@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +18,10 @@ def page_sentences(pages: DataFrame, config: PipelineConfig | None = None, bound
     """
     config = config or PipelineConfig()
     cleaned = pages.where(F.length("text") <= config.max_page_length).select("title", markup.clean_markup(F.col("text")).alias("text"))
-    paras = cleaned.select("title", F.posexplode(wikitext.paragraphs(F.col("text"))).alias("para", "p"))
-    split = paras.select("title", "para", F.col("p.links").alias("plinks"), text.sentences(text.one_line(F.col("p.text")), boundary).alias("ss"))
-    # One array of sentences a page numbers them without a window.
-    each = split.groupBy("title").agg(F.sort_array(F.collect_list(F.struct("para", "plinks", "ss"))).alias("paras"))
-    flat = each.select("title", F.flatten(F.transform("paras", lambda p: F.transform(p["ss"], lambda s: F.struct(p["para"].alias("para"), p["plinks"].alias("plinks"), s.alias("s"))))).alias("all"))
-    one = flat.select("title", F.posexplode("all").alias("sent", "x"))
+    # Paragraphs and sentences of a page stay in its row, which numbers them without a shuffle.
+    sentence = lambda p, k, s: F.struct(k.alias("para"), p["links"].alias("plinks"), s.alias("s"))
+    nested = F.transform(wikitext.paragraphs(F.col("text")), lambda p, k: F.transform(text.sentences(text.one_line(p["text"]), boundary), lambda s: sentence(p, k, s)))
+    one = cleaned.select("title", F.posexplode(F.flatten(nested)).alias("sent", "x"))
     inside = F.filter("x.plinks", lambda l: (l["end"] > l["begin"]) & (l["begin"] >= F.col("x.s.begin")) & (l["end"] < F.col("x.s.end")))
     shifted = F.array_distinct(F.transform(inside, lambda l: F.struct(F.lit(None).cast("string").alias("lemma"), names.format_resource_name(l["target"]).alias("target"), (l["begin"] - F.col("x.s.begin")).alias("begin"), (l["end"] - F.col("x.s.begin")).alias("end"))))
     return one.select("title", F.col("x.para").alias("para"), "sent", F.col("x.s.text").alias("text"), shifted.alias("links")).where(F.length("text") <= config.max_sentence_length)
@@ -52,7 +47,8 @@ def link_occurrences(sentences: DataFrame) -> DataFrame:
     link = sentences.select("title", "text", F.explode("links").alias("l"))
     anchors = link.select("title", F.substr("text", F.col("l.begin") + 1, F.col("l.end") - F.col("l.begin")).alias("word"), F.col("l.target").alias("target")).where(F.length("word") > 0).distinct()
     both = sentences.select("title", "sent", "text").join(anchors, "title").where(F.instr(F.col("text"), F.col("word")) > 0)
-    return occurrences(both).select("title", "sent", "target", "begin", "end").distinct()
+    found = both.select("title", "sent", "target", F.length("word").alias("n"), F.explode(text.find_word(F.col("text"), F.col("word"))).alias("begin"))
+    return found.select("title", "sent", "target", "begin", (F.col("begin") + F.col("n")).alias("end")).distinct()
 
 
 def link_spans(sentences: DataFrame) -> DataFrame:
@@ -60,32 +56,9 @@ def link_spans(sentences: DataFrame) -> DataFrame:
     return sentences.select("title", "sent", F.explode("links").alias("l")).select("title", "sent", "l.target", "l.begin", "l.end")
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """rows (text, word, ...) once for each occurrence of word in text that no letter touches, with begin and end."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", begin int, end int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [find_all(t, w) for t, w in zip(b["text"], b["word"], strict=True)]
-            out = b.loc[b.index.repeat([len(f) for f in found])].reset_index(drop=True)
-            flat = [x for f in found for x in f]
-            out["begin"], out["end"] = pd.Series([x for x, _ in flat], dtype="int32"), pd.Series([x for _, x in flat], dtype="int32")
-            yield out
-
-    return rows.mapInPandas(run, schema)
-
-
-def find_all(text: str | None, word: str | None) -> list[tuple[int, int]]:
-    """Spans of word in text without a letter on either side; the search goes on behind each find."""
-    out, at = [], 0
-    while text and word and (at := text.find(word, at)) >= 0:
-        end = at + len(word)
-        if (at == 0 or not text[at - 1].isalpha()) and (end == len(text) or not text[end].isalpha()):
-            out.append((at, end))
-            at = end
-        else:
-            at += 1
-    return out
+def dedupe(links: DataFrame, *by: str) -> DataFrame:
+    """The links (or mentions) that differ in the given columns, which alone are kept."""
+    return links.select(*by).distinct()
 
 
 def all_links(sentences: DataFrame, config: PipelineConfig | None = None) -> DataFrame:

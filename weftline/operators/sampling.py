@@ -55,3 +55,9 @@ def sample_per_word(mentions: DataFrame, used: DataFrame, key: str = "sid", per_
 def random_lines(lines: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows, each with equal chance, by a bounded top-k over the random keys."""
     return lines.withColumn("__p", priority(seed, key)).orderBy("__p", key).limit(n).drop("__p")
+
+
+def counters(mentions: DataFrame, at_least: int = 2, most_senses: int = 10) -> DataFrame:
+    """One row for mentions (word, target): link texts, those with several senses, those of them whose rarer senses are cut off."""
+    senses = mentions.groupBy("word").agg(F.count_distinct("target").alias("n"))
+    return senses.agg(F.count("*").alias("num_link_texts"), F.count_if(F.col("n") >= at_least).alias("num_polysemous_link_texts"), F.count_if(F.col("n") > max(most_senses, at_least - 1)).alias("num_polysemous_link_texts_cutoff"))

@@ -59,3 +59,11 @@ def counters(mentions: DataFrame, redirects: DataFrame, pages: DataFrame) -> Dat
     by_text = texts.agg(F.sum("links").alias("num_links"), F.count("*").alias("num_link_texts"), F.count_if(F.col("targets") >= 2).alias("num_polysemous_link_texts"))
     by_resource = one.agg(F.count_distinct("resource").alias("num_linked_resources"), F.count_distinct(F.when(F.col("is_page") == 1, F.col("resource"))).alias("num_linked_pages"))
     return by_text.crossJoin(by_resource).crossJoin(pages.agg(F.count_distinct("resource").alias("num_pages"))).crossJoin(redirects.agg(F.count_distinct("source").alias("num_redirects")))  # one row each
+
+
+def noun_link_counters(sentences: DataFrame) -> DataFrame:
+    """One row for sentences (tokens, links): num_links; num_tokens, those looked at, for each link up to the noun that has its very span, all if none has; num_noun_links."""
+    exact = lambda t, l: (t["begin"] == l["begin"]) & (t["end"] == l["end"]) & t["pos"].isin("NN", "NNS")
+    place = F.array_position(F.transform("tokens", lambda t: exact(t, F.col("l"))), F.lit(True))
+    each = sentences.select("tokens", F.explode("links").alias("l")).select(place.alias("p"), F.size("tokens").alias("n"))
+    return each.agg(F.count("*").alias("num_links"), F.coalesce(F.sum(F.when(F.col("p") > 0, F.col("p")).otherwise(F.col("n")).cast("bigint")), F.lit(0)).alias("num_tokens"), F.count_if(F.col("p") > 0).alias("num_noun_links"))

@@ -25,7 +25,7 @@ coalesce(string_agg(target || ':' || cnt || '  ', '' ORDER BY cnt DESC, target)
 
 @query(f"WITH {B.COUNTS} SELECT * FROM counts")
 def surface_form_dictionary(spark, sf):
-    return B.counts(spark, sf)
+    return D.surface_form_counts(B.mentions(spark, sf))
 
 
 @query(_INVENTORY.format(keep="true"))
@@ -152,8 +152,8 @@ _MIDDLE = _LEMMAS + ", enough AS (SELECT * FROM words WHERE cnt >= (SELECT CAST(
 
 def _middle(spark, sf):
     words = D.lemma_counts(B.mentions(spark, sf))
-    least = words.agg(F.floor(F.avg("cnt"))).first()[0] or 0
-    return filters.mid_frequency(words, least // 2, 12)
+    least = words.agg(F.expr("floor(avg(cnt)) div 2").alias("least"))  # one row
+    return filters.mid_frequency(words.crossJoin(F.broadcast(least)).where("cnt >= least").select("word", "cnt"), 0, 12)
 
 
 @query(_MIDDLE + " SELECT * FROM middle")
@@ -215,6 +215,11 @@ def top_senses(spark, sf):
     return sampling.top_senses(_worded(spark, sf))
 
 
+@query(f"WITH {B.MENTIONS}, n AS (SELECT lemma, count(DISTINCT target) AS n FROM mentions GROUP BY lemma) SELECT CAST(count(*) AS BIGINT) AS num_link_texts, CAST(count(*) FILTER (WHERE n >= 2) AS BIGINT) AS num_polysemous_link_texts, CAST(count(*) FILTER (WHERE n > 10) AS BIGINT) AS num_polysemous_link_texts_cutoff FROM n")
+def sampler_counters(spark, sf):
+    return sampling.counters(_worded(spark, sf))
+
+
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, md5('42|' || doc_id) AS p FROM documents) ORDER BY p, doc_id LIMIT 100")
 def random_lines(spark, sf):
     return sampling.random_lines(B.table(spark, sf, "documents").select("doc_id", "lang"), 100, "doc_id")

@@ -122,3 +122,41 @@ def wsd_choose_cluster(spark, sf):
 def cluster_sizes(spark, sf):
     rows = B.table(spark, sf, "part").join(B.table(spark, sf, "lineitem"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy(F.col("l_suppkey").alias("cluster_id")).agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("d"))
+
+
+_FLOW = f"""WITH {B.SENTENCES}, items AS (SELECT row_number() OVER () AS r, list_distinct(string_split(lower(text), ' ')) AS ws FROM benchmark),
+words AS (SELECT DISTINCT unnest(ws) AS word FROM items), clusters AS (SELECT word, length(feature) % 3 AS cluster_id, feature, CAST(count(*) AS BIGINT) AS weight FROM (SELECT word, unnest(ws) AS feature FROM (SELECT unnest(ws) AS word, ws FROM items)) GROUP BY ALL),
+tokens AS (SELECT doc_id, sent, list_transform(string_split(text, ' '), lambda x: lower(x)) AS ws FROM sentences),
+linked AS (SELECT doc_id || ':' || sent || '#0' AS iid, doc_id % 5 AS fold, ws[2] AS word, 'S' || length(ws[1]) % 5 AS gold, list_filter(list_distinct(ws), lambda x: x <> ws[2]) AS context FROM tokens WHERE len(ws) > 1),
+kept AS (SELECT * FROM linked WHERE word IN (SELECT word FROM words) AND gold <> 'S4'),
+shared AS (SELECT iid, cluster_id, sum(weight) AS score FROM (SELECT iid, word, unnest(context) AS feature FROM kept) JOIN clusters USING (word, feature) GROUP BY ALL),
+chosen AS (SELECT iid, arg_min(cluster_id, (-score, cluster_id)) AS cluster_id FROM shared GROUP BY iid),
+instances AS (SELECT iid, fold, word, cluster_id, gold FROM kept LEFT JOIN chosen USING (iid))"""
+
+
+def _flow(spark, sf):
+    """Sentences of documents in five folds, a link over the second word and one over the first two; senses, words and clusters."""
+    from weftline.plans.text_queries import _all_tokens
+
+    t = lambda k: F.get("tokens", F.lit(k - 1))
+    gold = F.concat(F.lit("S"), (F.length(t(1)["text"]) % 5).cast("string"), F.lit("#part"))
+    link = lambda b, e: F.struct(F.lit(None).cast("string").alias("lemma"), gold.alias("target"), b.alias("begin"), e.alias("end"))
+    rows = _all_tokens(spark, sf).where(F.size("tokens") > 1).select((F.col("doc_id") % 5).alias("fold"), "sid", "tokens", F.array(link(t(2)["begin"], t(2)["end"]), link(t(1)["begin"], t(2)["end"])).alias("links"))
+    senses = spark.range(4).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("resource"))
+    items = B.table(spark, sf, "benchmark").select(F.array_distinct(F.split(F.lower("text"), " ")).alias("ws"))
+    both = items.select("ws", F.explode("ws").alias("word")).select("word", F.explode("ws").alias("feature"))
+    clusters = both.groupBy("word", (F.length("feature") % 3).alias("cluster_id"), "feature").agg(F.count("*").alias("weight"))
+    return rows, senses, items.select(F.explode("ws").alias("word")).distinct(), clusters
+
+
+@query(_FLOW + " SELECT iid, fold, word, gold, CAST(len(context) AS INTEGER) AS n_context FROM kept")
+def evaluation_instances(spark, sf):
+    """Links with a sense and a head word that are asked for, and how many lemmas stand around."""
+    rows, senses, words, _ = _flow(spark, sf)
+    return E.link_instances(rows, senses, words).select("iid", "fold", "word", "gold", F.size("context").alias("n_context"))
+
+
+@query(_FLOW + ", folds AS" + _FOLDS.split("folds AS", 1)[1] + f" SELECT {_METRICS} FROM predicted")
+def cluster_evaluation_flow(spark, sf):
+    """From tokenised sentences with links to the figures of the evaluation."""
+    return E.metrics(E.evaluate(*_flow(spark, sf)))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from weftline.functions import codec, markup, text, wikitext
+from weftline.functions.arrays import let, starts_of
 from weftline.operators import dictionary as D
 from weftline.operators import filters
 from weftline.operators import links as L
+from weftline.operators import statistics as S
 from weftline.plans import bindings as B
 from weftline.plans.registry import query
 
@@ -109,29 +107,34 @@ def _discourse(spark, sf):
     """Sentences of documents with one explicit link each to the first long word of the sentence, where it stands alone."""
     first = F.regexp_extract("text", r"^[^ ]{5,} ", 0)
     rows = B.sentences(spark, sf).withColumn("w", F.substr(first, F.lit(1), F.length(first) - 1)).where(F.col("w").rlike(r"^\p{L}+$") | (F.col("w") == ""))
-    link = F.struct(F.lit(None).cast("string").alias("lemma"), F.upper("w").alias("target"), F.lit(0).alias("begin"), F.length("w").alias("end"))
+    link = F.struct(F.lit(None).cast("string").alias("lemma"), F.concat(F.lit("To_"), "w").alias("target"), F.lit(0).alias("begin"), F.length("w").alias("end"))
     none = F.expr("cast(array() as array<struct<lemma:string,target:string,begin:int,end:int>>)")
     return rows.select(F.col("doc_id").cast("string").alias("title"), "sent", "text", F.when(F.col("w") == "", none).otherwise(F.array(link)).alias("links"))
 
 
-@query()
+_IMPLICIT = rf"""WITH {B.SENTENCES}, discourse AS (SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS title, sent, text, CASE WHEN regexp_matches(text, '^[^ ]{{5,}} ') THEN regexp_extract(text, '^([^ ]{{5,}}) ', 1) ELSE '' END AS w FROM sentences) WHERE w = '' OR regexp_matches(w, '^\p{{L}}+$')),
+words AS (SELECT DISTINCT title, w AS word, 'To_' || w AS target FROM discourse WHERE w <> ''),
+parted AS (SELECT d.title, d.sent, d.text, word, target, string_split(d.text, word) AS p FROM discourse d JOIN words w ON d.title = w.title AND contains(d.text, word)),
+met AS (SELECT *, CAST(list_sum([length(x) + length(word) FOR x IN p[1:i]]) AS BIGINT) - length(word) AS b FROM (SELECT *, unnest(range(1, len(p))) AS i FROM parted)),
+occurrences AS (SELECT DISTINCT title, sent, target, CAST(b AS INTEGER) AS "begin", CAST(b + length(word) AS INTEGER) AS "end" FROM met WHERE NOT regexp_matches(substr(text, greatest(b, 1), CASE WHEN b > 0 THEN 1 ELSE 0 END), '\p{{L}}') AND NOT regexp_matches(substr(text, b + length(word) + 1, 1), '\p{{L}}')),
+spans AS (SELECT title, sent, 'To_' || w AS target, 0 AS "begin", CAST(length(w) AS INTEGER) AS "end" FROM discourse WHERE w <> ''),
+implicit AS (SELECT * FROM occurrences EXCEPT SELECT * FROM spans)"""
+
+
+@query(_IMPLICIT + " SELECT * FROM implicit")
 def implicit_links(spark, sf):
     return L.implicit_links(_discourse(spark, sf))
 
 
-@query()
+@query(_IMPLICIT + """, more AS (SELECT title, sent, string_agg(target || '@' || "begin" || ':' || "end", '  ' ORDER BY target, "begin", "end") AS more, count(*) AS n FROM implicit GROUP BY ALL),
+own AS (SELECT title, sent, CASE WHEN w <> '' THEN 'To_' || w || '@0:' || length(w) END AS own FROM discourse)
+SELECT title, sent, concat_ws('  ', own, more) AS links, CAST(coalesce(n, 0) AS INTEGER) AS n_implicit FROM own LEFT JOIN more USING (title, sent) WHERE coalesce(n, 0) + CASE WHEN own IS NULL THEN 0 ELSE 1 END BETWEEN 1 AND 9999""")
 def explicit_union_implicit(spark, sf):
     out = L.all_links(_discourse(spark, sf))
     return out.select("title", "sent", codec.encode_links(F.col("links")).alias("links"), "n_implicit")
 
 
-@query(f"WITH {B.ANCHORS}, here AS (SELECT DISTINCT page_id, link_text, target FROM anchors WHERE pos % 2 = 0), there AS (SELECT DISTINCT page_id, link_text, target FROM anchors WHERE pos % 3 = 0) SELECT * FROM here EXCEPT SELECT * FROM there")
-def implicit_minus_explicit(spark, sf):
-    a = B.anchors(spark, sf)
-    return a.where("pos % 2 = 0").select("page_id", "link_text", "target").subtract(a.where("pos % 3 = 0").select("page_id", "link_text", "target"))
-
-
-@query()
+@query(_IMPLICIT + " SELECT * FROM implicit")
 def implicit_minus_explicit_links(spark, sf):
     """The set difference of all sentences' link occurrences and explicit links."""
     rows = _discourse(spark, sf)
@@ -140,44 +143,19 @@ def implicit_minus_explicit_links(spark, sf):
 
 @query(f"WITH {B.ANCHORS} SELECT DISTINCT page_id, link_text, target FROM anchors")
 def dedupe_links(spark, sf):
-    return B.anchors(spark, sf).dropDuplicates(["page_id", "link_text", "target"]).select("page_id", "link_text", "target")
-
-
-_TOKENS = f"""WITH {B.SENTENCES}, tokens AS (SELECT doc_id, sent, k, w, CAST(coalesce(list_sum([length(x) + 1 FOR x IN ws[1:k - 1]]), 0) AS INTEGER) AS b FROM (SELECT doc_id, sent, ws, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS w FROM (SELECT doc_id, sent, string_split(text, ' ') AS ws FROM sentences WHERE length(text) <= 200)) )"""
-
-
-def _tokens(spark, sf):
-    """Sentences of 200 characters at most with blank-separated tokens; words that end in `ed` count as verbs, others as nouns."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<begin:int,end:int,text:string,pos:string,lemma:string>>)").alias("t"))
-
-    def step(acc, w):
-        item = F.struct(acc["at"].alias("begin"), (acc["at"] + F.length(w)).alias("end"), w.alias("text"), F.when(F.endswith(w, F.lit("ed")), "VB").otherwise("NN").alias("pos"), F.lower(w).alias("lemma"))
-        return F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["t"], F.array(item)).alias("t"))
-
-    some = filters.within_lengths(B.sentences(spark, sf), 200)
-    sid = F.concat_ws(":", "doc_id", "sent")
-    return some.select(sid.alias("sid"), "doc_id", "sent", F.col("text").alias("sentence"), F.aggregate(F.split("text", " "), start, step, lambda acc: acc["t"]).alias("tokens"))
-
-
-@F.arrow_udf(ST.ArrayType(ST.IntegerType()))
-def _begins(texts: pa.Array) -> pa.Array:
-    """Where the blank-separated tokens of each text begin, in one pass."""
-    words = pc.split_pattern(texts, " ")
-    first = words.offsets.to_numpy()
-    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(words.flatten()).to_numpy() + 1, dtype=np.int64)])
-    begins = ends[first[0] : first[-1]] - np.repeat(ends[first[:-1]], np.diff(first))
-    return pa.ListArray.from_arrays(pa.array(first - first[0], pa.int32()), pa.array(begins, pa.int32()))
+    return L.dedupe(B.anchors(spark, sf), "page_id", "link_text", "target")
 
 
 def _all_tokens(spark, sf):
-    """The same of all sentences, however long."""
-    rows = B.sentences(spark, sf).select("doc_id", "sent", "text", _begins("text").alias("b"))
+    """All sentences with blank-separated tokens; words that end in `ed` count as verbs, others as nouns."""
+
+    def of(words):
+        def item(w, b):
+            return F.struct(b.alias("begin"), (b + F.length(w)).alias("end"), w.alias("text"), F.when(F.endswith(w, F.lit("ed")), "VB").otherwise("NN").alias("pos"), F.lower(w).alias("lemma"))
 
-    def item(w, k):
-        b = F.get("b", k)
-        return F.struct(b.alias("begin"), (b + F.length(w)).alias("end"), w.alias("text"), F.when(F.endswith(w, F.lit("ed")), "VB").otherwise("NN").alias("pos"), F.lower(w).alias("lemma"))
+        return let(starts_of(F.transform(words, lambda w: F.length(w) + 1)), lambda at: F.transform(words, lambda w, k: item(w, F.get(at, k))))
 
-    return rows.select(F.concat_ws(":", "doc_id", "sent").alias("sid"), "doc_id", "sent", F.col("text").alias("sentence"), F.transform(F.split("text", " "), item).alias("tokens"))
+    return B.sentences(spark, sf).select(F.concat_ws(":", "doc_id", "sent").alias("sid"), "doc_id", "sent", F.col("text").alias("sentence"), let(F.split("text", " "), of).alias("tokens"))
 
 
 def _spans(tokens):
@@ -188,37 +166,32 @@ def _spans(tokens):
     return rows.withColumn("links", F.array(link(t(2)["begin"], t(2)["end"], "One"), link(t(2)["begin"], t(3)["end"], "Two"), link(t(2)["begin"], (t(2)["begin"] + t(2)["end"]).cast("int") - t(2)["begin"] - 1, "Half")))
 
 
-@query(_TOKENS + ", second AS (SELECT * FROM tokens WHERE k = 2 AND (doc_id, sent) IN (SELECT (doc_id, sent) FROM tokens WHERE k = 3)) SELECT doc_id || ':' || sent AS sid, lower(w) AS lemma, 'One' AS target, b AS \"begin\", CAST(b + length(w) AS INTEGER) AS \"end\" FROM second WHERE NOT ends_with(w, 'ed')")
-def token_span_join(spark, sf):
-    sentences = _spans(_tokens(spark, sf)).select(F.col("sid").alias("sentence"), "tokens", "links")
-    return D.noun_link_lemmas(sentences).withColumnRenamed("sentence", "sid")
-
-
-@query(_TOKENS + ", second AS (SELECT * FROM tokens WHERE k = 2 AND (doc_id, sent) IN (SELECT (doc_id, sent) FROM tokens WHERE k = 3)) SELECT doc_id || ':' || sent AS sid, lower(w) || '@@1@' || b || ':' || (b + length(w)) AS links FROM second WHERE NOT ends_with(w, 'ed') AND length(w) > 0")
-def covered_tokens(spark, sf):
-    """Links that cover exactly one token, a noun; their targets go through a redirect."""
-    return _covered(spark, _tokens(spark, sf))
-
-
 def _covered(spark, tokens):
     led = spark.createDataFrame([("One", "1"), ("Half", "1/2")], "source string, destination string")
     made = D.lemmatize_links(_spans(tokens).where(F.length(F.get("tokens", F.lit(1))["text"]) > 0), led)
     return made.select("sid", codec.encode_links(F.col("links")).alias("links"))
 
 
+@query(f"""WITH {B.SENTENCES}, ws AS (SELECT string_split(text, ' ') AS ws FROM sentences), one AS (SELECT ws, NOT ends_with(ws[2], 'ed') AS noun FROM ws WHERE len(ws) > 2)
+SELECT CAST(3 * count(*) AS BIGINT) AS num_links, CAST(sum(2 * len(ws) + CASE WHEN noun THEN 2 ELSE len(ws) END) AS BIGINT) AS num_tokens, CAST(count(*) FILTER (WHERE noun) AS BIGINT) AS num_noun_links FROM one""")
+def word_count_counters(spark, sf):
+    """Links, tokens looked at, and links that are exactly a noun."""
+    return S.noun_link_counters(_spans(_all_tokens(spark, sf)))
+
+
 _SECOND = f"""WITH {B.SENTENCES}, second AS (SELECT doc_id, sent, ws[2] AS w, CAST(length(ws[1]) + 1 AS INTEGER) AS b FROM (SELECT doc_id, sent, string_split(text, ' ') AS ws FROM sentences) WHERE len(ws) > 2 AND NOT ends_with(ws[2], 'ed'))"""
 
 
 @query(_SECOND + " SELECT doc_id || ':' || sent AS sid, lower(w) AS lemma, 'One' AS target, b AS \"begin\", CAST(b + length(w) AS INTEGER) AS \"end\" FROM second")
 def token_span_join_whole(spark, sf):
-    """token_span_join over sentences of any length."""
+    """Links whose span is exactly one noun, with its lemma."""
     sentences = _spans(_all_tokens(spark, sf)).select(F.col("sid").alias("sentence"), "tokens", "links")
     return D.noun_link_lemmas(sentences).withColumnRenamed("sentence", "sid")
 
 
 @query(_SECOND + " SELECT doc_id || ':' || sent AS sid, lower(w) || '@@1@' || b || ':' || (b + length(w)) AS links FROM second WHERE length(w) > 0")
 def covered_tokens_whole(spark, sf):
-    """covered_tokens over sentences of any length."""
+    """Links that cover exactly one token, a noun; their targets go through a redirect."""
     return _covered(spark, _all_tokens(spark, sf))
 
 

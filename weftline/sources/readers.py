@@ -51,6 +51,11 @@ def delimited(spark: SparkSession, path: str | list[str], *columns: str) -> Data
     return split.select(*(F.col("c")[k].alias(n) for k, n in enumerate(columns)))
 
 
+def malformed(spark: SparkSession, path: str | list[str], columns: int) -> DataFrame:
+    """(value): the lines that `delimited` with so many columns leaves out."""
+    return spark.read.text(path).where(F.size(codec.columns_of(F.col("value"))) != columns)
+
+
 def redirects(spark: SparkSession, path: str | None) -> DataFrame:
     """(source, destination), one row a source; no path, no redirects."""
     if not path:

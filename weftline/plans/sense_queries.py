@@ -141,7 +141,7 @@ def _flow(spark, sf):
     t = lambda k: F.get("tokens", F.lit(k - 1))
     gold = F.concat(F.lit("S"), (F.length(t(1)["text"]) % 5).cast("string"), F.lit("#part"))
     link = lambda b, e: F.struct(F.lit(None).cast("string").alias("lemma"), gold.alias("target"), b.alias("begin"), e.alias("end"))
-    rows = _all_tokens(spark, sf).where(F.size("tokens") > 1).select((F.col("doc_id") % 5).alias("fold"), "sid", "tokens", F.array(link(t(2)["begin"], t(2)["end"]), link(t(1)["begin"], t(2)["end"])).alias("links"))
+    rows = _all_tokens(spark, sf).where(F.instr("sentence", " ") > 0).select((F.col("doc_id") % 5).alias("fold"), "sid", "tokens", F.array(link(t(2)["begin"], t(2)["end"]), link(t(1)["begin"], t(2)["end"])).alias("links"))
     senses = spark.range(4).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("resource"))
     items = B.table(spark, sf, "benchmark").select(F.array_distinct(F.split(F.lower("text"), " ")).alias("ws"))
     both = items.select("ws", F.explode("ws").alias("word")).select("word", F.explode("ws").alias("feature"))

@@ -162,13 +162,13 @@ def _spans(tokens):
     """Links over the second token, over the second and third, and over half of the second."""
     t = lambda k: F.get("tokens", F.lit(k - 1))
     link = lambda b, e, name: F.struct(F.lit(None).cast("string").alias("lemma"), F.lit(name).alias("target"), b.alias("begin"), e.alias("end"))
-    rows = tokens.where(F.size("tokens") > 2)
+    rows = tokens.where(F.size(F.split("sentence", " ")) > 2)  # of the plain column, so that tokens are not made twice
     return rows.withColumn("links", F.array(link(t(2)["begin"], t(2)["end"], "One"), link(t(2)["begin"], t(3)["end"], "Two"), link(t(2)["begin"], (t(2)["begin"] + t(2)["end"]).cast("int") - t(2)["begin"] - 1, "Half")))
 
 
 def _covered(spark, tokens):
     led = spark.createDataFrame([("One", "1"), ("Half", "1/2")], "source string, destination string")
-    made = D.lemmatize_links(_spans(tokens).where(F.length(F.get("tokens", F.lit(1))["text"]) > 0), led)
+    made = D.lemmatize_links(_spans(tokens).where(F.length(F.get(F.split("sentence", " "), F.lit(1))) > 0), led)
     return made.select("sid", codec.encode_links(F.col("links")).alias("links"))
 
 

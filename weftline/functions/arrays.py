@@ -13,6 +13,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """value as a generated column: the optimiser does not write its expression into each later use, as it does with a projected one."""
+    return F.explode(F.array(value))
+
+
 def starts_of(lengths: Column) -> Column:
     """Where each part begins, given all parts' lengths: running sums without the part itself.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.arrays import once
+
 
 def surface_form_counts(mentions: DataFrame) -> DataFrame:
     """(lemma, target, cnt): how often each lemma stands for each target."""
@@ -44,7 +46,7 @@ def noun_link_lemmas(sentences: DataFrame) -> DataFrame:
     """
     link = sentences.select("*", F.explode("links").alias("l"))
     noun = F.filter("tokens", lambda t: (t["begin"] == F.col("l.begin")) & (t["end"] == F.col("l.end")) & t["pos"].isin("NN", "NNS"))
-    return link.withColumn("noun", noun).where(F.size("noun") > 0).select("sentence", F.col("noun")[0]["lemma"].alias("lemma"), "l.target", "l.begin", "l.end")
+    return link.select("sentence", "l", F.explode(F.slice(noun, 1, 1)).alias("noun")).select("sentence", "noun.lemma", "l.target", "l.begin", "l.end")
 
 
 def lemmatize_links(sentences: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def lemmatize_links(sentences: DataFrame, redirects: DataFrame) -> DataFrame:
     """
     link = sentences.select("sid", "sentence", "tokens", F.posexplode("links").alias("pos", "l"))
     covered = F.filter("tokens", lambda t: (t["begin"] >= F.col("l.begin")) & (t["end"] <= F.col("l.end")))
-    one = link.withColumn("c", covered).where((F.size("c") == 1) & F.col("c")[0]["pos"].isin("NN", "NNS"))
+    one = link.select("sid", "sentence", "pos", "l", once(covered).alias("c")).where(F.size("c") == 1).select("sid", "sentence", "pos", "l", F.get("c", F.lit(0)).alias("t")).where(F.col("t.pos").isin("NN", "NNS"))
     led = one.join(redirects, one["l.target"] == redirects["source"], "left")
-    made = F.struct(F.col("pos"), F.col("c")[0]["lemma"].alias("lemma"), F.coalesce("destination", "l.target").alias("target"), F.col("l.begin").alias("begin"), F.col("l.end").alias("end"))
+    made = F.struct(F.col("pos"), F.col("t.lemma").alias("lemma"), F.coalesce("destination", "l.target").alias("target"), F.col("l.begin").alias("begin"), F.col("l.end").alias("end"))
     return led.groupBy("sid", "sentence").agg(F.sort_array(F.collect_list(made)).alias("s")).select("sid", "sentence", F.transform("s", lambda x: x.dropFields("pos")).alias("links"))

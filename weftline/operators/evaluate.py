@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.arrays import once
 from weftline.functions.names import strip_fragment
 
 
@@ -96,7 +97,7 @@ def link_instances(sentences: DataFrame, senses: DataFrame, words: DataFrame) ->
     """
     link = sentences.select("fold", "sid", "tokens", F.posexplode("links").alias("pos", "l")).withColumn("gold", strip_fragment(F.col("l.target")))
     link = link.join(senses.select(F.col("resource").alias("gold")).distinct(), "gold", "left_semi")
-    named = link.withColumn("word", head_word("tokens", F.col("l.begin"), F.col("l.end")))
+    named = link.select("fold", "sid", "pos", "gold", "tokens", once(head_word("tokens", F.col("l.begin"), F.col("l.end"))).alias("word"))
     named = named.join(words.select("word").distinct(), "word", "left_semi")
     return named.select(F.concat_ws("#", "sid", "pos").alias("iid"), "fold", "word", "gold", context_lemmas("tokens", F.col("word")).alias("context"))
 

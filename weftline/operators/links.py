@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import PipelineConfig
 from weftline.functions import markup, names, text, wikitext
+from weftline.functions.arrays import let
 
 
 def page_sentences(pages: DataFrame, config: PipelineConfig | None = None, boundary: str = text.BOUNDARY) -> DataFrame:
@@ -35,20 +36,17 @@ def explicit_links(sentences: DataFrame, config: PipelineConfig | None = None) -
 
 def implicit_links(sentences: DataFrame) -> DataFrame:
     """(title, sent, target, begin, end): link_occurrences that are no explicit links themselves."""
-    return link_occurrences(sentences).join(link_spans(sentences), ["title", "sent", "target", "begin", "end"], "left_anti")
+    return _exploded(_pages(sentences), F.array_except(_occurrences("ss"), _spans("ss")))
 
 
 def link_occurrences(sentences: DataFrame) -> DataFrame:
     """(title, sent, target, begin, end): occurrences, anywhere in the page, of the texts of its links, the links among them.
 
     One sense per discourse: each text of a page's links points to the link's target wherever it
-    stands as a word. The page's texts meet its sentences in a join by title.
+    stands as a word. A page is one row (its length is bounded), so its texts meet its sentences
+    inside the row, after one exchange by title. Sentences without a title belong to no page.
     """
-    link = sentences.select("title", "text", F.explode("links").alias("l"))
-    anchors = link.select("title", F.substr("text", F.col("l.begin") + 1, F.col("l.end") - F.col("l.begin")).alias("word"), F.col("l.target").alias("target")).where(F.length("word") > 0).distinct()
-    both = sentences.select("title", "sent", "text").join(anchors, "title").where(F.instr(F.col("text"), F.col("word")) > 0)
-    found = both.select("title", "sent", "target", F.length("word").alias("n"), F.explode(text.find_word(F.col("text"), F.col("word"))).alias("begin"))
-    return found.select("title", "sent", "target", "begin", (F.col("begin") + F.col("n")).alias("end")).distinct()
+    return _exploded(_pages(sentences), F.array_distinct(_occurrences("ss")))
 
 
 def link_spans(sentences: DataFrame) -> DataFrame:
@@ -56,6 +54,31 @@ def link_spans(sentences: DataFrame) -> DataFrame:
     return sentences.select("title", "sent", F.explode("links").alias("l")).select("title", "sent", "l.target", "l.begin", "l.end")
 
 
+def _pages(sentences: DataFrame) -> DataFrame:
+    return sentences.where(F.col("title").isNotNull()).groupBy("title").agg(F.collect_list(F.struct("sent", "text", "links")).alias("ss"))
+
+
+def _exploded(pages: DataFrame, found: Column) -> DataFrame:
+    return pages.select("title", F.explode(found).alias("x")).select("title", "x.sent", "x.target", "x.begin", "x.end")
+
+
+def _placed(s: Column, target: Column, begin: Column, end: Column) -> Column:
+    return F.struct(s["sent"].alias("sent"), target.alias("target"), begin.cast("int").alias("begin"), end.cast("int").alias("end"))
+
+
+def _spans(sentences: str) -> Column:
+    return F.flatten(F.transform(sentences, lambda s: F.transform(s["links"], lambda l: _placed(s, l["target"], l["begin"], l["end"]))))
+
+
+def _occurrences(sentences: str) -> Column:
+    """Where the texts of all links of the sentences stand in each of them."""
+    word = lambda s, l: F.struct(F.substr(s["text"], l["begin"] + 1, l["end"] - l["begin"]).alias("word"), l["target"].alias("target"))
+    words = F.filter(F.array_distinct(F.flatten(F.transform(sentences, lambda s: F.transform(s["links"], lambda l: word(s, l))))), lambda w: F.length(w["word"]) > 0)
+    of = lambda s, w: F.transform(text.find_word(s["text"], w["word"]), lambda b: _placed(s, w["target"], b, b + F.length(w["word"])))
+    met = lambda s, ws: F.flatten(F.transform(F.filter(ws, lambda w: F.contains(s["text"], w["word"])), lambda w: of(s, w)))
+    return let(words, lambda ws: F.flatten(F.transform(sentences, lambda s: met(s, ws))))
+
+
 def dedupe(links: DataFrame, *by: str) -> DataFrame:
     """The links (or mentions) that differ in the given columns, which alone are kept."""
     return links.select(*by).distinct()

@@ -71,8 +71,9 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sent, begin, end, text) of documents, split after every end mark."""
     from weftline.functions import text
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.sentences(text.one_line(F.col("text")), text.PLAIN_BOUNDARY).alias("s"))
-    return docs.select("doc_id", F.posexplode("s").alias("sent", "x")).select("doc_id", "sent", F.col("x.begin").alias("begin"), F.col("x.end").alias("end"), F.col("x.text").alias("text"))
+    # Exploded as an expression: over a named array the optimiser would infer a filter, and split each text once more for it.
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(text.one_line(F.col("text")), text.PLAIN_BOUNDARY)).alias("sent", "x"))
+    return docs.select("doc_id", "sent", F.col("x.begin").alias("begin"), F.col("x.end").alias("end"), F.col("x.text").alias("text"))
 
 
 SENTENCES = r"""marked AS (SELECT doc_id, string_split(regexp_replace(translate(text, chr(10), ' '), '([.!?])(\s+)', '\1\2' || chr(1), 'g'), chr(1)) AS parts FROM documents),

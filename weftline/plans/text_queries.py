@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import codec, markup, text, wikitext
-from weftline.functions.arrays import let, starts_of
+from weftline.functions.arrays import let, once, starts_of
 from weftline.operators import dictionary as D
 from weftline.operators import filters
 from weftline.operators import links as L
@@ -155,7 +155,7 @@ def _all_tokens(spark, sf):
 
         return let(starts_of(F.transform(words, lambda w: F.length(w) + 1)), lambda at: F.transform(words, lambda w, k: item(w, F.get(at, k))))
 
-    return B.sentences(spark, sf).select(F.concat_ws(":", "doc_id", "sent").alias("sid"), "doc_id", "sent", F.col("text").alias("sentence"), let(F.split("text", " "), of).alias("tokens"))
+    return B.sentences(spark, sf).select(F.concat_ws(":", "doc_id", "sent").alias("sid"), "doc_id", "sent", F.col("text").alias("sentence"), once(let(F.split("text", " "), of)).alias("tokens"))
 
 
 def _spans(tokens):

@@ -56,8 +56,8 @@ def shard(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col
     text = F.col(quoted(text_col))
     carried = others(docs, id_col, text_col, *RESULTS) + ([text_col] if keep_text else [])
     rows = docs.select(
-        F.col(quoted(id_col)),
-        *(F.col(quoted(c)) for c in carried),
+        F.col(quoted(id_col)).alias("__id"),
+        (F.struct(*(F.col(quoted(c)).alias(c) for c in carried)) if carried else F.lit(None)).alias("__row"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(F.col(quoted(id_col))).alias("__key"),
@@ -69,11 +69,11 @@ def shard(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col
     # One row for each (shard, sub-bucket): 16 x rows / 800,000.
     sizes = rows.groupBy("shard", "__sub").agg(F.count("*").alias("n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "__sub", "__before")
-    rank = F.row_number().over(Window.partitionBy("shard", "__sub").orderBy(quoted(id_col), "size", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy("shard", "__sub").orderBy("__id", "size", "text_crc32"))
     placed = rows.withColumn("__rank", rank).join(before, ["shard", "__sub"])
     return placed.select(
-        F.col(quoted(id_col)),
-        *(F.col(quoted(c)) for c in carried),
+        F.col("__id").alias(id_col),
+        *(F.col("__row")[c].alias(c) for c in carried),
         "size",
         "text_crc32",
         F.lit("key").alias("law"),

@@ -53,7 +53,8 @@ def word_list_slice(words: DataFrame, offset: int, limit: int) -> DataFrame:
     bounded top-k's; no total order of all words is made.
     """
     order = [F.desc("cnt"), F.asc("word")]
-    rest = words.join(words.orderBy(*order).limit(offset).select("word"), "word", "left_anti") if offset else words
+    rest = words.join(words.orderBy(*order).limit(offset), ["word", "cnt"], "left_anti") if offset else words
+    # The join names the count, so that it does not move below the counting, where it would meet every occurrence of a word.
     return rest.where(starts_lower(F.col("word"))).orderBy(*order).limit(limit).select(*words.columns)
 
 

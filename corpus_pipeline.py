@@ -3,7 +3,10 @@
 Stages read and return the columns of documents (the last adds the tokens' columns). They behave
 alike for every table that has doc_id and text, whatever its other columns; n_chars is brought up
 to date where a stage changes a text. Null texts are empty texts to every operator; each operator's
-docstring says what becomes of odd rows.
+docstring says what becomes of odd rows. In short: documents without words stay what they are, an
+empty table passes through empty, rows that share a doc_id are one document to the n-gram Jaccard join
+(one row of them stays), other columns are carried along whatever their names, and texts of any length
+are read whole.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ Defined cases: null and empty texts have no words and no hits; null or wordless
 pattern; items with equal text are all reported; a null item_id counts as an item but is left out
 of the list of ids; an empty benchmark contaminates nothing; repeated documents are judged each
 for itself; other columns of the input pass through, those named like a result are replaced.
+A text may be of any length; it is scanned whole, at about ten times its bytes of memory.
 """
 
 from __future__ import annotations

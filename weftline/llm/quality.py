@@ -16,6 +16,7 @@ other than 0 or 1, null labels and labels without a document teach nothing; equa
 a document count once, different ones each; with no usable label the score is 0.5 for all; with one class only it is that
 class for all; an empty table gives no rows; other columns pass through, those named like a result
 are replaced.
+A text may be of any length; it is read a megabyte at a time.
 """
 
 from __future__ import annotations

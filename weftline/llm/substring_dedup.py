@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of `width` words, counted in Spark.
 
-1. Each block hashes every window of its documents (two rolling hashes modulo 2^64 from prefix
-   sums) and sends each distinct hash once to its bucket, as 32 bits inside the bucket.
+1. Each block hashes every window of its documents (polynomials of the words' hashes modulo 2^64)
+   and sends each distinct hash once to its bucket, as 32 bits inside the bucket.
 2. A bucket counts them and answers with one bit a hash: does another block have it too?
 3. For the hashes so marked, the block sends the 96-bit hash with the place (doc_id, start) of its
    own first occurrence; the bucket finds the first of all and answers which are later ones.
@@ -9,12 +9,14 @@
    the block is a later one; overlapping windows merge into maximal intervals of words.
 
 So a window that a third of all documents share is one entry a block. Hashes that differ are
-different windows; equal 96-bit hashes are taken for equal windows (64 bits inside a block).
+different windows; equal 96-bit hashes are taken for equal windows (64 bits inside a block). The two
+hashes of a window have hashes of its words of their own, which no arrangement of bytes cancels out.
 
 Defined cases: null and empty texts have no words; null doc_ids come before all others; rows with
 equal doc_id count as one document, so that their windows with equal start neither precede nor
 remove each other; an empty table gives no rows; other columns pass through, those named like a
-result are replaced.
+result are replaced. A text may be of any length: its words are read a megabyte at a time, and it
+takes its worker about 13 bytes for each of its bytes.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ Defined cases: null and empty texts have no bytes; null doc_ids come before all
 equal doc_id count as one document, windows of theirs with equal start do not remove each other;
 spans may cut characters (they are bytes; `kept` is binary); an empty table gives no rows; other
 columns pass through, those named like a result are replaced.
+A text may be of any length; it is one row of its block, so its worker must hold it and arrays of 8 bytes for each of its bytes.
 """
 
 from __future__ import annotations

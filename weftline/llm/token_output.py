@@ -23,6 +23,7 @@ resume=False the folder is emptied first.
 Defined cases: a null or empty text is one sequence that holds the end-of-document id alone;
 null doc_ids are kept as null; repeated documents have sequences of their own; an empty table
 writes no shard and a manifest with 0 sequences; other columns do not matter.
+A text may be of any length: it is encoded whole and cut into as many sequences as it takes.
 """
 
 from __future__ import annotations

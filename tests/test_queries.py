@@ -1,12 +1,16 @@
 """Every query with SQL for it gives the same rows in DuckDB, and none of the others is empty."""
 
+import collections
+import html
 import math
 import os
 import re
 
 import duckdb
 import pytest
+import regex
 
+from weftline.functions import text as F
 from weftline.plans import bindings as B
 from weftline.plans import text_queries as T
 from weftline.plans.catalog import ORACLE_SQL, QUERIES
@@ -90,3 +94,77 @@ def test_document_text_rebase_goes_through_the_codec(spark, monkeypatch):
     lines = {r["doc_id"]: r["text"].replace("\t", " ").split("\n") for r in spark.read.parquet(f"{DIR}/documents.parquet").collect() if r["text"]}
     assert len(spans) == sum(1 for x in lines.values() for y in x if y)
     assert all(texts[r["doc_id"]][r["begin"] : r["end"] + 1] == lines[r["doc_id"]][r["pos"]] + "\n" for r in spans)
+
+
+def documents(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect() if r["text"]}
+
+
+SPACE = " \t\n\x0b\f\r"
+
+
+def test_noun_counts(spark):
+    wanted = collections.Counter()
+    for text in documents(spark).values():
+        for sentence in re.split(r"(?<=[.!?])\s+", text.replace("\n", " "), flags=re.A):
+            wanted.update(t["lemma"] for t in F.tokenize(sentence.strip(SPACE)) if t["pos"] in ("NN", "NNS"))
+    assert len(wanted) > 1000 and {r["lemma"]: r["cnt"] for r in QUERIES["noun_counts"](spark, DIR).collect()} == wanted
+
+
+def test_wikitext_paragraphs(spark):
+    wanted = set()
+    for r in spark.read.parquet(f"{DIR}/pages.parquet").collect():
+        page = re.sub(r"\n .*", "", re.sub(r"<!--.*?-{2,3}>", "", r["html"], flags=re.S).replace("&nbsp;", " ").replace("&#8209;", "-"))
+        assert not any(x in page for x in ("{{", "{|", "[[", "://", "''", "<ref", "<pre", "<math", "<source"))
+        paragraphs, open_ = [], False
+        for line in re.sub(r"</?[a-zA-Z][^<>]*>", "", page).split("\n"):
+            item = line[:1] in ("*", "#", ":", ";")
+            if not line.strip() or re.fullmatch(r"\s*(={2,6}.*={2,6}|-{4,}|__[A-Z]+__)\s*", line):
+                open_ = False
+            elif open_ and not item:
+                paragraphs[-1] += " " + line
+            else:
+                paragraphs.append(line.lstrip("*#:; ") if item else line)
+                open_ = not item
+        texts = [x for x in map(html.unescape, paragraphs) if x.strip()]
+        wanted |= {(r["page_id"], k, len(x)) for k, x in enumerate(texts)}
+    assert wanted and {(r["page_id"], r["para"], r["n"]) for r in QUERIES["wikitext_paragraphs"](spark, DIR).collect()} == wanted
+
+
+def ends_sentence(text, m):
+    """Whether the white space m of text is a boundary: end mark, no abbreviation, a likely beginning behind it."""
+    before, after = text[: m.start()], text[m.end() :]
+    mark = regex.search(r"[.!?][\"'”’)\]]{0,2}$", before)
+    short = regex.search(r"(?<!\w)(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|No|Inc|Ltd|Co|cf|approx|[A-Z])\.$", before)
+    return bool(mark and not short and regex.match(r"[\"'“‘(\[]{0,2}[\p{Lu}\p{N}]", after))
+
+
+def test_wikitext_links(spark):
+    """Each line whose second token is a word begins a paragraph, with a link over this word."""
+    wanted = set()
+    for doc, text in documents(spark).items():
+        assert html.unescape(text) == text and not re.search(r"\[\[|\{\{|\{\||<[a-zA-Z/!]|''|://|^[ *#:;=_-]", text, flags=re.M)
+        paragraphs, open_ = [], False
+        for line in text.split("\n"):
+            m = regex.match(r"([^ \t\n\x0b\f\r]+) (\p{L}+) ", line)
+            if not line.strip():
+                open_ = False
+            elif open_ and not m:
+                paragraphs[-1][0] += " " + line
+            else:
+                paragraphs.append([line, m and (m[2], m.start(2), m.end(2))])
+                open_ = True
+        sent = 0
+        for whole, link in paragraphs:
+            cuts = [m.end() for m in re.finditer(r"\s+", whole, flags=re.A) if ends_sentence(whole, m)]
+            for a, b in zip([0, *cuts], [*cuts, len(whole)]):
+                body = whole[a:b].strip(SPACE)
+                if not body:
+                    continue
+                a += len(whole[a:b]) - len(whole[a:b].lstrip(SPACE))
+                inside = link and a <= link[1] and link[2] < a + len(body)
+                if len(body) <= 1000:
+                    wanted.add((f"Doc {doc}", sent, body, f"Target_of_{link[0]}@{link[1] - a}:{link[2] - a}" if inside else ""))
+                sent += 1
+    made = [tuple(r[c] for c in ("title", "sent", "text", "links")) for r in QUERIES["wikitext_links"](spark, DIR).collect()]
+    assert sum(1 for x in wanted if x[3]) > 100 and len(made) == len(set(made)) and set(made) == wanted

@@ -58,7 +58,10 @@ y * z\t*#n* prep_of *
 """
 
 
-@query()
+# A verb's triple is noted after its object and after each child behind that; collapsed prepositions come last.
+@query(_TREES + """, verbs AS (SELECT n_nationkey, gov, s.dl AS subject, s.gl AS predicate, o.dl AS object FROM named s JOIN named o USING (n_nationkey, gov) WHERE s.type = 'nsubj' AND o.type = 'dobj')
+SELECT n_nationkey, subject, predicate, object FROM verbs UNION ALL SELECT n_nationkey, subject, predicate, object FROM verbs JOIN named p USING (n_nationkey, gov) WHERE p.type = 'prep'
+UNION ALL SELECT p.n_nationkey, p.gl, CAST(NULL AS VARCHAR), o.dl FROM named p JOIN named o ON o.n_nationkey = p.n_nationkey AND o.gov = p.dep JOIN tokens t ON t.n_nationkey = p.n_nationkey AND t.i = p.gov WHERE p.type = 'prep' AND p.dl = 'of' AND o.type = 'pobj' AND starts_with(t.tag, 'N')""")
 def dependency_triples(spark, sf):
     collapsed = _trees(spark, sf).withColumn("deps", P.collapse_prepositions(F.col("deps"), F.col("tokens")))
     x = collapsed.select("n_nationkey", F.explode(P.triples(F.col("tokens"), F.col("deps"), P.parse_patterns(PATTERNS))).alias("t"))

@@ -168,3 +168,14 @@ def test_wikitext_links(spark):
                 sent += 1
     made = [tuple(r[c] for c in ("title", "sent", "text", "links")) for r in QUERIES["wikitext_links"](spark, DIR).collect()]
     assert sum(1 for x in wanted if x[3]) > 100 and len(made) == len(set(made)) and set(made) == wanted
+
+
+def exchanges(df):
+    """What rows are dealt by, in the plan before it runs."""
+    return re.findall(r"Exchange (\w+partitioning\([^)]*\)|SinglePartition)", df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_covered_tokens_are_dealt_by_sentence_alone(spark):
+    """Dealt by target, all sentences of one target would meet in one task."""
+    found = exchanges(QUERIES["covered_tokens_whole"](spark, DIR))
+    assert len(found) == 1 and found[0].startswith("hashpartitioning(sid#")

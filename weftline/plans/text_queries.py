@@ -168,7 +168,8 @@ def _spans(tokens):
 
 def _covered(spark, tokens):
     led = spark.createDataFrame([("One", "1"), ("Half", "1/2")], "source string, destination string")
-    made = D.lemmatize_links(_spans(tokens).where(F.length(F.get(F.split("sentence", " "), F.lit(1))) > 0), led)
+    rows = _spans(tokens).where(F.length(F.get(F.split("sentence", " "), F.lit(1))) > 0)
+    made = D.lemmatize_links(rows, F.broadcast(led))  # two rows
     return made.select("sid", codec.encode_links(F.col("links")).alias("links"))
 
 

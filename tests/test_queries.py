@@ -179,3 +179,9 @@ def test_covered_tokens_are_dealt_by_sentence_alone(spark):
     """Dealt by target, all sentences of one target would meet in one task."""
     found = exchanges(QUERIES["covered_tokens_whole"](spark, DIR))
     assert len(found) == 1 and found[0].startswith("hashpartitioning(sid#")
+
+
+def test_contexts_are_dealt_by_instance_alone(spark):
+    """Dealt by word and feature, a few very frequent pairs would make the partitions."""
+    found = exchanges(QUERIES["wsd_choose_cluster"](spark, DIR))
+    assert any("l_orderkey#" in x for x in found) and not any("feature#" in x and "word#" in x and "cluster_id" not in x and "_groupingexpression" not in x for x in found)

@@ -66,13 +66,20 @@ def mapping(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: F.concat(x["gold"], F.lit(":"), (-x["o"]).cast("string"))), "  ").alias("senses"))
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt into the session's number of partitions; as it is asked for, these are not united by their bytes, which say little of what hash tables over many short rows take."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def choose_cluster(contexts: DataFrame, clusters: DataFrame) -> DataFrame:
     """(iid, cluster_id, score) for contexts (iid, word, feature): the cluster of the word with the largest summed weight of shared features.
 
     clusters is (word, cluster_id, feature, weight). Instances that share no feature have no row;
-    of equal scores the smallest cluster wins.
+    of equal scores the smallest cluster wins. Contexts are dealt by iid, once, where clusters are
+    few enough to be broadcast (by a hint, or as measured); words and features may be very frequent.
+    Contexts that are dealt by iid already stay where they are: in partitions of the caller's size.
     """
-    shared = contexts.distinct().join(clusters, ["word", "feature"]).groupBy("iid", "cluster_id").agg(F.sum("weight").alias("score"))
+    shared = dealt(contexts, "iid").distinct().join(clusters, ["word", "feature"]).groupBy("iid", "cluster_id").agg(F.sum("weight").alias("score"))
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("iid").orderBy(F.desc("score"), "cluster_id")))
     return best.where("r = 1").select("iid", "cluster_id", "score")
 

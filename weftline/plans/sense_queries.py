@@ -115,10 +115,11 @@ clusters AS (SELECT o_orderpriority AS word, o_custkey % 4 AS cluster_id, l_retu
 shared AS (SELECT iid, cluster_id, sum(weight) AS score FROM contexts JOIN clusters USING (word, feature) GROUP BY ALL)
 SELECT iid, arg_min(cluster_id, (-score, cluster_id)) AS cluster_id, CAST(max(score) AS BIGINT) AS score FROM shared GROUP BY iid""")
 def wsd_choose_cluster(spark, sf):
-    both = B.table(spark, sf, "orders").join(B.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    rows = both.select(F.col("o_orderkey").alias("iid"), F.col("o_orderpriority").alias("word"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("feature"), "o_custkey")
+    lines = E.dealt(B.table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"), "l_orderkey")
+    both = lines.join(B.table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = both.select(F.col("l_orderkey").alias("iid"), F.col("o_orderpriority").alias("word"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("feature"), "o_custkey")
     clusters = rows.where("o_custkey % 3 = 0").groupBy("word", (F.col("o_custkey") % 4).alias("cluster_id"), "feature").agg(F.count("*").alias("weight"))
-    return E.choose_cluster(rows.select("iid", "word", "feature"), clusters)
+    return E.choose_cluster(rows.select("iid", "word", "feature"), F.broadcast(clusters))  # by 5 priorities, 4 remainders and the kinds of lines
 
 
 @query("WITH edges AS (SELECT p_partkey, l_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey) SELECT l_suppkey AS cluster_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT p_partkey) AS BIGINT) AS d FROM edges GROUP BY l_suppkey")

@@ -86,3 +86,17 @@ def test_plans_read_few_columns_and_stay_native(spark, name):
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
     assert "l_comment" not in plan and ("l_extendedprice" not in plan)
+
+
+def test_equal_instances_may_be_counted(spark):
+    rows = [(0, "w", 1, "a"), (0, "w", 1, "a"), (1, "w", 1, "a"), (1, "w", 2, "b"), (2, "w", 2, "b"), (2, "w", 2, "b"), (2, "w", None, "a"), (2, "w", None, "a"), (2, "v", 1, "c")]
+    df = spark.createDataFrame(rows, "fold int, word string, cluster_id int, gold string")
+    whole, few = E.metrics(E.predictions(df)), E.metrics(E.predictions(E.counted(df)))
+    assert E.counted(df).count() == 6 and whole.dtypes == few.dtypes and whole.collect() == few.collect()
+    assert E.metrics(E.predictions(E.counted(df.where("fold > 9")))).first()["correct"] == 0
+
+
+def test_instances_keep_their_cluster_or_none(spark):
+    instances = spark.createDataFrame([("i", 0, "w", "a", ["x", "y"]), ("j", 1, "w", "b", ["q"]), ("k", 1, "w", "b", []), ("l", 2, "w", "b", ["y"])], "iid string, fold int, word string, gold string, context array<string>")
+    clusters = spark.createDataFrame([("w", 1, "x", 2), ("w", 2, "y", 1), ("w", 3, "y", 1), ("v", 4, "q", 9)], "word string, cluster_id int, feature string, weight int")
+    assert sorted(map(tuple, E.clustered_instances(instances, clusters).collect())) == [("i", 0, "w", 1, "a"), ("j", 1, "w", None, "b"), ("k", 1, "w", None, "b"), ("l", 2, "w", 2, "b")]

@@ -185,3 +185,8 @@ def test_contexts_are_dealt_by_instance_alone(spark):
     """Dealt by word and feature, a few very frequent pairs would make the partitions."""
     found = exchanges(QUERIES["wsd_choose_cluster"](spark, DIR))
     assert any("l_orderkey#" in x for x in found) and not any("feature#" in x and "word#" in x and "cluster_id" not in x and "_groupingexpression" not in x for x in found)
+
+
+def test_evaluation_finds_the_links_once(spark):
+    """Counts and predictions use the instances several times; they are read from kept counts, not from the documents."""
+    assert not any("documents.parquet" in x for x in QUERIES["cluster_evaluation_flow"](spark, DIR).inputFiles())

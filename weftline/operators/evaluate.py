@@ -7,16 +7,30 @@ fold and none is read twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.arrays import once
 from weftline.functions.names import strip_fragment
 
 
+def counted(instances: DataFrame) -> DataFrame:
+    """(fold, word, cluster_id, gold, n): equal instances as one row. All that is below takes such rows too, and counts each n times."""
+    return instances.groupBy("fold", "word", "cluster_id", "gold").agg(F.count("*").alias("n"))
+
+
+def _times(rows: DataFrame, condition: Column | None = None) -> Column:
+    """How many instances there are, or for how many the condition holds."""
+    if "n" not in rows.columns:
+        return F.count("*") if condition is None else F.count_if(condition)
+    return F.coalesce(F.sum("n" if condition is None else F.when(condition, F.col("n"))), F.lit(0))
+
+
 def confusion(instances: DataFrame, by: list[str]) -> DataFrame:
     """(by..., gold, cnt)"""
-    return instances.groupBy(*by, "gold").agg(F.count("*").alias("cnt"))
+    return instances.groupBy(*by, "gold").agg(_times(instances).alias("cnt"))
 
 
 def most_frequent(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -44,19 +58,20 @@ def predictions(instances: DataFrame) -> DataFrame:
 
 def metrics(predicted: DataFrame) -> DataFrame:
     """One row of counts over predictions."""
-    hit = lambda c: F.count_if(F.col(c) == F.col("gold"))
+    times = lambda condition=None: _times(predicted, condition)
+    hit = lambda c: times(F.col(c) == F.col("gold"))
     return predicted.agg(
-        F.count("*").alias("instances"),
-        F.count_if(F.col("baseline").isNotNull()).alias("with_baseline"),
-        F.count_if(F.col("cluster_id").isNotNull()).alias("with_cluster"),
-        F.count_if(F.col("cluster_sense").isNotNull()).alias("with_cluster_sense"),
-        F.count_if(F.col("cluster_id").isNotNull() & F.col("cluster_sense").isNull()).alias("cluster_without_sense"),
+        times().alias("instances"),
+        times(F.col("baseline").isNotNull()).alias("with_baseline"),
+        times(F.col("cluster_id").isNotNull()).alias("with_cluster"),
+        times(F.col("cluster_sense").isNotNull()).alias("with_cluster_sense"),
+        times(F.col("cluster_id").isNotNull() & F.col("cluster_sense").isNull()).alias("cluster_without_sense"),
         hit("baseline").alias("correct_baseline"),
         hit("cluster_sense").alias("correct_cluster"),
         hit("sense").alias("correct"),
-        F.count_if(F.col("sense").isNotNull() & (F.col("sense") != F.col("gold"))).alias("incorrect"),
-        F.count_if(F.col("sense").isNull()).alias("unanswered"),
-        F.count_if(F.col("cluster_sense").isNull() & (F.col("sense") == F.col("gold"))).alias("correct_by_fallback"),
+        times(F.col("sense").isNotNull() & (F.col("sense") != F.col("gold"))).alias("incorrect"),
+        times(F.col("sense").isNull()).alias("unanswered"),
+        times(F.col("cluster_sense").isNull() & (F.col("sense") == F.col("gold"))).alias("correct_by_fallback"),
     )
 
 
@@ -102,19 +117,28 @@ def link_instances(sentences: DataFrame, senses: DataFrame, words: DataFrame) ->
     span is exactly one token whose lemma is one of the words (word). context has the distinct
     lemmas of the sentence but the word itself.
     """
-    link = sentences.select("fold", "sid", "tokens", F.posexplode("links").alias("pos", "l")).withColumn("gold", strip_fragment(F.col("l.target")))
-    link = link.join(senses.select(F.col("resource").alias("gold")).distinct(), "gold", "left_semi")
-    named = link.select("fold", "sid", "pos", "gold", "tokens", once(head_word("tokens", F.col("l.begin"), F.col("l.end"))).alias("word"))
-    named = named.join(words.select("word").distinct(), "word", "left_semi")
-    return named.select(F.concat_ws("#", "sid", "pos").alias("iid"), "fold", "word", "gold", context_lemmas("tokens", F.col("word")).alias("context"))
+    link = sentences.select("fold", "sid", "tokens", F.posexplode(F.transform("links", lambda l: F.struct(strip_fragment(l["target"]).alias("gold"), head_word("tokens", l["begin"], l["end"]).alias("word")))).alias("pos", "l"))
+    # Of the tokens only the context goes on, should one of the joins deal the links out.
+    named = link.where("l.word is not null").select(F.concat_ws("#", "sid", "pos").alias("iid"), "fold", "l.word", "l.gold", context_lemmas("tokens", F.col("l.word")).alias("context"))
+    named = named.join(senses.select(F.col("resource").alias("gold")).distinct(), "gold", "left_semi").join(words.select("word").distinct(), "word", "left_semi")
+    return named.select("iid", "fold", "word", "gold", "context")
 
 
 def clustered_instances(instances: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(iid, fold, word, cluster_id, gold): link_instances with the cluster of their word that suits the context best, null where none does."""
-    chosen = choose_cluster(instances.select("iid", "word", F.explode("context").alias("feature")), clusters)
-    return instances.join(chosen.select("iid", "cluster_id"), "iid", "left").select("iid", "fold", "word", "cluster_id", "gold")
+    """(iid, fold, word, cluster_id, gold): link_instances with the cluster of their word that suits the context best, null where none does.
+
+    The choice is that of choose_cluster; instances go along, so that they are made once and need no join with their clusters.
+    """
+    features = instances.select("iid", "fold", "word", "gold", F.explode_outer("context").alias("feature"))
+    scores = features.join(clusters, ["word", "feature"], "left").groupBy("iid", "fold", "word", "gold", "cluster_id").agg(F.sum("weight").alias("score"))
+    best = F.min_by("cluster_id", F.when(F.col("cluster_id").isNotNull(), F.struct(F.col("score").isNull(), -F.col("score"), F.col("cluster_id"))))
+    return scores.groupBy("iid", "fold", "word", "gold").agg(best.alias("cluster_id")).select("iid", "fold", "word", "cluster_id", "gold")
 
 
-def evaluate(sentences: DataFrame, senses: DataFrame, words: DataFrame, clusters: DataFrame) -> DataFrame:
-    """predictions for the links of sentences: each fold is tested with what all others teach."""
-    return predictions(clustered_instances(link_instances(sentences, senses, words), clusters))
+def evaluate(sentences: DataFrame, senses: DataFrame, words: DataFrame, clusters: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.localCheckpoint) -> DataFrame:
+    """predictions for the links of sentences, equal ones counted in one row: each fold is tested with what all others teach.
+
+    keep(rows) writes rows and reads them again: predictions use their input several times, which
+    would find and judge all links again each time. Clusters are kept too, so that their size is known.
+    """
+    return predictions(keep(counted(clustered_instances(link_instances(sentences, senses, words), keep(clusters)))))

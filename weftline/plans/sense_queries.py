@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import dependencies as P
 from weftline.operators import evaluate as E
 from weftline.plans import bindings as B
+from weftline.plans import scratch
 from weftline.plans.registry import query
 
 # A small tree for each nation: "The <name> of <region> sells red parts to buyers".
@@ -150,7 +151,7 @@ def _flow(spark, sf):
     items = B.table(spark, sf, "benchmark").select(F.array_distinct(F.split(F.lower("text"), " ")).alias("ws"))
     both = items.select("ws", F.explode("ws").alias("word")).select("word", F.explode("ws").alias("feature"))
     clusters = both.groupBy("word", (F.length("feature") % 3).alias("cluster_id"), "feature").agg(F.count("*").alias("weight"))
-    return rows, senses, items.select(F.explode("ws").alias("word")).distinct(), clusters
+    return rows, F.broadcast(senses), items.select(F.explode("ws").alias("word")).distinct(), clusters
 
 
 @query(_FLOW + " SELECT iid, fold, word, gold, CAST(len(context) AS INTEGER) AS n_context FROM kept")
@@ -163,4 +164,10 @@ def evaluation_instances(spark, sf):
 @query(_FLOW + ", folds AS" + _FOLDS.split("folds AS", 1)[1] + f" SELECT {_METRICS} FROM predicted")
 def cluster_evaluation_flow(spark, sf):
     """From tokenised sentences with links to the figures of the evaluation."""
-    return E.metrics(E.evaluate(*_flow(spark, sf)))
+
+    def keep(rows):
+        path = scratch.folder(spark, "evaluation")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    return E.metrics(E.evaluate(*_flow(spark, sf), keep))

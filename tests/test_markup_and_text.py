@@ -1,3 +1,5 @@
+from collections import Counter
+
 import time
 
 import pytest
@@ -83,3 +85,11 @@ def test_page_links_explicit_and_implicit(spark):
     assert L.explicit_links(s, few).count() == 0 and {r["sent"] for r in L.all_links(s, few).collect()} == {0, 1}
     assert L.page_sentences(spark.createDataFrame([("P", page)], "title string, text string"), few).count() == 2
     assert L.page_sentences(spark.createDataFrame([("P", page)], "title string, text string"), PipelineConfig(max_page_length=10)).count() == 0
+
+
+def test_lemma_counts_are_those_of_tokens(spark):
+    texts = ["Boxes of boxes moved, quickly.", "The boxes are Alice's Boxes; ponies", "", None, "- ponies 3 ponies Ponies", "Alice saw Alice"] * 3
+    wanted = Counter(t["lemma"] for x in texts for t in text.tokenize(x) if t["pos"] in ("NN", "NNS"))
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for most in (2, 200_000):
+        assert {r["lemma"]: r["cnt"] for r in text.lemma_counts(df, ("NN", "NNS"), most).collect()} == wanted

@@ -7,10 +7,12 @@ type can take their place.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +118,39 @@ def tokens(sentence: Column, tokenizer: Callable[[str | None], list[dict]] = tok
     return run(sentence)
 
 
+def lemma_counts(sentences: DataFrame, pos: tuple[str, ...], most: int = 200_000) -> DataFrame:
+    """(lemma, cnt) of all tokens of these parts of speech, as tokenize tells them, in sentences (text).
+
+    A token's tag and lemma depend on nothing but its word and whether it comes first, so workers
+    count words, up to `most` different ones at a time, and tag and lemmatise each of them once.
+    """
+
+    def lemmas(counted: list[tuple[Counter, bool]]) -> pa.RecordBatch:
+        out = Counter()
+        for words, first in counted:
+            for word, n in words.items():
+                tag = tag_of(word, first)
+                if tag in pos:
+                    out[lemma_of(word, tag)] += n
+            words.clear()
+        return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["lemma", "cnt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, later = Counter(), Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                words = _TOKEN.findall(text.as_py() or "")
+                if words:
+                    first[words[0]] += 1
+                    del words[0]
+                    later.update(words)
+                if len(first) + len(later) > most:
+                    yield lemmas([(first, True), (later, False)])
+        yield lemmas([(first, True), (later, False)])
+
+    return sentences.select("text").mapInArrow(run, "lemma string, cnt bigint").groupBy("lemma").agg(F.sum("cnt").alias("cnt"))
+
+
 def find_word(text: Column, word: str | Column) -> Column:
     """Begins (from 0) of all occurrences of a word that no letter touches.
 

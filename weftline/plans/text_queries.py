@@ -260,5 +260,4 @@ def wikitext_paragraphs(spark, sf):
 @query()
 def noun_counts(spark, sf):
     """Lemmas of the nouns of all sentences, tagged and lemmatised by rule."""
-    tokens = B.sentences(spark, sf).select(F.explode(text.tokens(F.col("text"))).alias("t"))
-    return tokens.where(F.col("t.pos").isin("NN", "NNS")).groupBy(F.col("t.lemma").alias("lemma")).agg(F.count("*").alias("cnt"))
+    return text.lemma_counts(B.sentences(spark, sf), ("NN", "NNS"))

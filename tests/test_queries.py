@@ -190,3 +190,8 @@ def test_contexts_are_dealt_by_instance_alone(spark):
 def test_evaluation_finds_the_links_once(spark):
     """Counts and predictions use the instances several times; they are read from kept counts, not from the documents."""
     assert not any("documents.parquet" in x for x in QUERIES["cluster_evaluation_flow"](spark, DIR).inputFiles())
+
+
+def test_implicit_links_read_documents_once(spark):
+    for name in ("implicit_links", "implicit_minus_explicit_links"):
+        assert QUERIES[name](spark, DIR)._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1

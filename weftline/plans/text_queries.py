@@ -136,9 +136,8 @@ def explicit_union_implicit(spark, sf):
 
 @query(_IMPLICIT + " SELECT * FROM implicit")
 def implicit_minus_explicit_links(spark, sf):
-    """The set difference of all sentences' link occurrences and explicit links."""
-    rows = _discourse(spark, sf)
-    return L.link_occurrences(rows).subtract(L.link_spans(rows))
+    """The set difference of all sentences' link occurrences and explicit links, taken inside each page, which is read once."""
+    return L.implicit_links(_discourse(spark, sf))
 
 
 @query(f"WITH {B.ANCHORS} SELECT DISTINCT page_id, link_text, target FROM anchors")

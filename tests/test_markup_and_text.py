@@ -2,8 +2,11 @@ from collections import Counter
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.config import PipelineConfig
 from weftline.functions import markup, text, wikitext
@@ -93,3 +96,11 @@ def test_lemma_counts_are_those_of_tokens(spark):
     df = spark.createDataFrame([(x,) for x in texts], "text string")
     for most in (2, 200_000):
         assert {r["lemma"]: r["cnt"] for r in text.lemma_counts(df, ("NN", "NNS"), most).collect()} == wanted
+
+
+def test_paragraphs_are_packed_piece_by_piece():
+    pages = ["a [[b|c]] d\n\ne", None, "", "x" * 50, "* i\n* j [[k]]"] * 4
+    kind = to_arrow_type(T._parse_datatype_string(wikitext.PARAGRAPHS))
+    pieces = list(wikitext._parsed(pa.array(pages), kind, 40))
+    assert len(pieces) > 4 and max(len(x) for x in pieces) < 8
+    assert pa.concat_arrays(pieces).to_pylist() == [wikitext.parse(x) for x in pages]
